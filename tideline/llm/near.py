@@ -1,8 +1,10 @@
 """Near-duplicate records (problem 1): hash minima with banding, verification, and connected components.
 
 Texts. The set of ``SHINGLE`` consecutive words of each distinct word sequence is hashed under ``BANDS * ROWS`` universal
-functions; ``ROWS`` minima make a band key. Sequences that share a key are candidates, first verified on their signatures,
-then exactly on their shingle sets. Equal word sequences are one node, so copies never meet each other in a band.
+functions; ``ROWS`` minima make a band key. The signatures verify a candidate by ``AGREE`` equal bands at least (at a
+similarity of 0.5 a pair has 7.5 of them on average and fewer than 2 with a probability of 0.3 %; templates that are 0.08
+alike have 2 in one of 3000 pairs), its shingle sets then exactly. Equal word sequences are one node, so copies never meet
+each other in a band. A key that many nodes share is paired in blocks, in as many tasks as it has pairs of blocks.
 
 Frame hashes. A 64-bit hash is the set of its (block, value) pairs over ``d + r`` blocks; two hashes within ``d`` bits share
 at least ``r`` of them. Randomly drawn minima reach full recall at 6 of 64 bits only with some 50 bands, far more data than
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tideline.runtime import groups_for, written
 
-SHINGLE, ROWS, BANDS, LEAST_WORDS = 3, 3, 48, 15
+SHINGLE, ROWS, BANDS, AGREE, LEAST_WORDS = 3, 3, 60, 2, 15
 ROWS_PER_GROUP, CROWDED, OCCUPANCY = 250_000, 2_000_000, 64
 
 
@@ -150,58 +152,118 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _shingles(words: Column, shingle: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda k: F.xxhash64(F.slice(words, k + 1, shingle))))
+
+
 def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20260101)
     return rng.integers(1, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, n, dtype=np.uint64)
 
 
-def _minima(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Signatures of sets that lie one after another in ``flat`` (none empty): 32-bit minima of multiply-add-shift hashes."""
+def _band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Keys of all bands of sets that lie one after another in ``flat`` (none empty). A band's key mixes its ``ROWS`` minima,
+    each of a multiply-add-shift hash."""
     a, b = _universal(ROWS * BANDS)
-    out = np.empty((len(starts), len(a)), np.uint32)
-    for k in range(len(a)):
-        out[:, k] = np.minimum.reduceat(((flat * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), starts)
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band, np.uint64)
+        for k in range(band * ROWS, band * ROWS + ROWS):
+            key = (key ^ np.minimum.reduceat((flat * a[k] + b[k]) >> np.uint64(32), starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, band] = key
     return out
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    for pdf in batches:
-        sets = pdf.shingles.to_list()
-        sizes = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets).view(np.uint64)
-        sig = _minima(flat, np.cumsum(sizes) - sizes).astype(np.uint64).reshape(len(pdf), BANDS, ROWS)
-        keys = (sig * mix).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        keys ^= keys >> np.uint64(31)
-        yield pd.DataFrame({"node": pdf.node, "run": pdf.run, "keys": list(keys.view(np.int64))})
-
-
-def text_nodes(records: DataFrame, id_col: str, group_col: str, text_col: str, least_words: int = LEAST_WORDS, shingle: int = SHINGLE) -> DataFrame:
-    """Members (id, g, node): ``node`` is a hash of the record's word sequence; and per row its shingle set."""
+def _sign(groups: int):
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a : a + 2000]
+                sets = part.shingles.to_list()
+                sizes = np.array([len(x) for x in sets])
+                keys = _band_keys(np.concatenate(sets).view(np.uint64), np.cumsum(sizes) - sizes).ravel().view(np.int64)
+                yield pd.DataFrame({"g": (keys % groups).astype(np.int32), "key": keys, "nid": np.repeat(part.nid.to_numpy(), BANDS), "run": np.repeat(part.run.to_numpy(), BANDS)})
+
+    return sign
+
+
+MET = "a long, b long, key long, run int, n int"
+
+
+def _meet(most: int):
+    """Pairs (a < b) of one group's rows that share a key and are not of one run. The rows of a key that more than ``most``
+    nodes share are handed on instead (b is null, n their number), to be paired in blocks."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(pdf.key.to_numpy(), kind="stable")
+        key, nid, run = (pdf[c].to_numpy()[order] for c in ("key", "nid", "run"))
+        ends, begins = np.searchsorted(key, key, "right"), np.searchsorted(key, key, "left")
+        crowded = ends - begins > most
+        p, k, found = np.flatnonzero(~crowded), 1, [np.zeros((2, 0), np.int64)]
+        while True:
+            p = p[p + k < ends[p]]
+            if not len(p):
+                break
+            keep = (run[p] != run[p + k]) | (run[p] == 0)
+            a, b = nid[p[keep]], nid[p[keep] + k]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            k += 1
+        a, b = np.concatenate(found, axis=1)
+        pairs = pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "key": np.int64(0), "run": np.int32(0), "n": np.int32(0)})
+        over = pd.DataFrame({"a": nid, "b": pd.array([pd.NA] * len(nid), "Int64"), "key": key, "run": run, "n": (ends - begins).astype(np.int32)})[crowded]
+        return pd.concat([pairs, over])
+
+    return meet
+
+
+def _meet_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one key between two blocks of its nodes (or within one)."""
+    i, j = pdf.i.iloc[0], pdf.j.iloc[0]
+    left, right = (pdf[pdf.block == x] for x in (i, j))
+    nid, run, found = right.a.to_numpy(), right.run.to_numpy(), [np.zeros((2, 0), np.int64)]
+    for a, r in zip(left.a, left.run, strict=True):
+        keep = ((run != r) | (r == 0)) & ((nid > a) if i == j else (nid != a))
+        b = nid[keep]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+    a, b = np.concatenate(found, axis=1)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _candidates(nodes: DataFrame, most: int) -> DataFrame:
+    """(a, b) of nodes that agree in at least ``AGREE`` bands."""
+    spark = nodes.sparkSession
+    groups = groups_for(spark, nodes.count() * BANDS, ROWS_PER_GROUP)
+    bands = nodes.select("nid", "run", "shingles").mapInPandas(_sign(groups), "g int, key long, nid long, run int")
+    met = written(bands.groupBy("g").applyInPandas(_meet(most), MET))
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    over = met.where("b is null").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int"))
+    tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    over = over.select("a", "key", "run", "block", F.explode(tasks).alias("t")).select("a", "key", "run", "block", "t.i", "t.j")
+    more = over.groupBy("key", "i", "j").applyInPandas(_meet_blocks, "a long, b long")
+    both = met.where("b is not null").select("a", "b").unionByName(more)
+    return both.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
+
+
+def text_links(records: DataFrame, id_col: str, group_col: str, text_col: str, similarity: float = 0.5, least_words: int = LEAST_WORDS, shingle: int = SHINGLE, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between different word sequences of Jaccard similarity at least ``similarity`` that occur in different
+    groups, and members (id, g, node), both written. Each sequence is one node however often it occurs. Records without id,
+    group or text, or with fewer than ``least_words`` words, are left out. Other columns are ignored."""
     rows = records.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), _words(F.col(text_col)).alias("w"))
     rows = rows.where(F.col("id").isNotNull() & F.col("g").isNotNull() & (F.size("w") >= max(least_words, shingle)))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - shingle), lambda k: F.xxhash64(F.slice("w", k + 1, shingle)))
-    return rows.select("id", "g", F.xxhash64("w").alias("node"), F.array_distinct(grams).alias("shingles"))
-
-
-def text_links(records: DataFrame, id_col: str, group_col: str, text_col: str, similarity: float = 0.5, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between different word sequences of Jaccard similarity at least ``similarity`` that occur in different
-    groups, and members (id, g, node), both written. Each sequence is one node however often it occurs."""
-    rows = text_nodes(records, id_col, group_col, text_col, least_words)
+    rows = rows.select("id", "g", F.xxhash64("w").alias("node"), F.array_join("w", " ").alias("words"))
     members = written(rows.select("id", "g", "node").distinct())
-    nodes = written(rows.groupBy("node").agg(F.first("shingles").alias("shingles"), F.min("g").alias("g1"), F.max("g").alias("g2")))
-    # A node that occurs in one group only carries that group, so candidates within it are left out early.
-    signed = nodes.select("node", F.when(F.col("g1") == F.col("g2"), F.xxhash64("g1")).alias("run"), "shingles").repartition(groups_for(nodes.sparkSession, 0, 1))
-    signed = signed.mapInPandas(_sign, "node long, run long, keys array<long>")
-    bands = written(signed.select("node", "run", F.explode("keys").alias("key")))
-    left, right = bands.alias("l"), bands.alias("r")
-    near = left.join(right, F.col("l.key") == F.col("r.key")).where("l.node < r.node and (l.run is null or r.run is null or l.run != r.run)")
-    near = near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    sa = nodes.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    sb = nodes.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    full = near.join(sa, "a").join(sb, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    links = written(full.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b"))
+    nodes = rows.groupBy("node").agg(F.first("words").alias("words"), F.min("g").alias("g1"), F.max("g").alias("g2"))
+    # A node that occurs in one group only carries that group, so candidates within it are left out early; 0 for several.
+    run = F.when(F.col("g1") == F.col("g2"), F.hash("g1").bitwiseOR(F.lit(1))).otherwise(F.lit(0))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", run.alias("run"), "words"))
+    spread = nodes.repartition(groups_for(nodes.sparkSession, 0, 1))
+    near = written(_candidates(spread.select("nid", "run", _shingles(F.split("words", " "), shingle).alias("shingles")), most))
+    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("node").alias(f"n{x}"), F.col("words").alias(f"w{x}"))
+    met = near.join(side("a"), "a").join(side("b"), "b").select("na", "nb", *[_shingles(F.split(w, " "), shingle).alias(w) for w in ("wa", "wb")])
+    both = F.size(F.array_intersect("wa", "wb"))
+    met = met.select(F.col("na").alias("a"), F.col("nb").alias("b"), both.alias("both"), (F.size("wa") + F.size("wb")).alias("sizes"))
+    links = written(met.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b"))
     return links, members
 
 
