@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.operators import faults, intervals, messages
+from tideline.plans import frames, timeline
 from tideline.runtime import table
 
 DATA = {
@@ -35,8 +36,8 @@ DATA_SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**DATA}
+    return DATA | timeline.QUERIES | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**DATA_SQL}
+    return DATA_SQL | timeline.SQL | frames.SQL
