@@ -13,15 +13,19 @@ Null stays null; an empty text stays empty. Both forms are idempotent.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.runtime import written
+
 # Code points of Unicode's Default_Ignorable_Code_Point property (first, last), and U+FFF9..U+FFFB.
 IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -103,32 +107,43 @@ def normal_form(texts: pd.Series) -> pd.Series:
     return _by_value(texts, normal_form_of)
 
 
-def visible(form: Column) -> Column:
-    """Whether a form shows anything: not null, and not only spaces and line breaks."""
-    return F.coalesce(F.regexp_replace(form, r"\s", "") != "", F.lit(False))
-
-
 def with_forms(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``normal_form`` and ``appearance`` of ``text``; columns of these names are replaced."""
     return docs.withColumns({"normal_form": normal_form(F.col(text)), "appearance": appearance(F.col(text))})
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, form, string): 128-bit digests of a text's appearance and of the text, for texts that show something. Both are
+    taken in one pass, so that only digests leave the task that read the text."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = {}
+            for t in pdf.t.unique():
+                form = appearance_of(t)
+                both[t] = (_digest(form), _digest(t)) if form.strip() else (None, None)
+            pairs = [both[t] for t in pdf.t]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "form": [p[0] for p in pairs], "string": [p[1] for p in pairs]})
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null and t is not null")
+    return rows.mapInPandas(digest, "doc_id long, form binary, string binary").where("form is not null")
+
+
 def look_alikes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (``doc_id_a < doc_id_b``) whose texts differ as strings but have one appearance.
 
-    The appearance is computed per row, then texts are grouped by a digest of it. Only appearances with several different
+    Texts are grouped by a digest of their appearance. Only appearances with several different
     strings go on (``min != max`` of the string digests, pre-aggregated), so a text that has a million plain copies and no
     twin costs one row after the first exchange. Null texts, empty texts and texts that show nothing give no pair; a
     repeated (id, text) row counts once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).where(F.col("doc_id").isNotNull() & F.col("t").isNotNull())
-    rows = rows.withColumn("a", appearance("t")).where(visible(F.col("a")))
-    rows = rows.select("doc_id", F.unhex(F.sha2("a", 256)).alias("form"), F.unhex(F.sha2("t", 256)).alias("string"))
+    rows = written(digests(docs, id_col, text))
     several = rows.groupBy("form").agg(F.min("string").alias("lo"), F.max("string").alias("hi")).where("lo != hi").select("form")
-    left = rows.join(several, "form", "left_semi")
-    from tideline.runtime import written
-
-    left = written(left.distinct())
+    left = written(rows.join(several, "form", "left_semi").distinct())
     right = left.select("form", F.col("string").alias("string_b"), F.col("doc_id").alias("doc_id_b"))
     pairs = left.join(right, "form").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("string") != F.col("string_b")))
     return pairs.select(F.col("doc_id").alias("doc_id_a"), "doc_id_b")
@@ -137,12 +152,14 @@ def look_alikes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def form_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the class of its appearance (its smallest id), how many documents and strings the class has.
 
-    Counts come from a pre-aggregated group per appearance; no list of members is built. Null text: class is its own id.
+    Counts come from a pre-aggregated group per appearance; no list of members is built. A text that is null or shows nothing
+    is a class of its own. A repeated row counts once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).withColumn("form", F.sha2(appearance("t"), 256))
-    rows = rows.select("doc_id", "form", F.xxhash64("t").alias("s"))
-    per_string = rows.where("form is not null").groupBy("form", "s").agg(F.min("doc_id").alias("m"), F.count("*").alias("n"))
+    rows = written(digests(docs, id_col, text).distinct())
+    per_string = rows.groupBy("form", "string").agg(F.min("doc_id").alias("m"), F.count("*").alias("n"))
     classes = per_string.groupBy("form").agg(F.min("m").alias("class_id"), F.sum("n").alias("documents"), F.count("*").alias("strings"))
-    out = rows.join(classes, "form", "left")
+    # Classes of one document are left out of the join, so that what it sends follows the copies, not the corpus.
+    found = rows.join(classes.where("documents > 1"), "form").select("doc_id", "class_id", "documents", "strings")
+    out = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().join(found, "doc_id", "left")
     one = F.lit(1).cast("long")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("documents", one).alias("documents"), F.coalesce("strings", one).alias("strings"))

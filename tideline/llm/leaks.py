@@ -158,14 +158,14 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = SPAN, least_shar
             for pdf in batches:
                 for a in range(0, len(pdf), 1000):
                     part = pdf.iloc[a : a + 1000]
-                    rows = list(_hits(part.doc_id.to_numpy(), part.text.tolist(), shared.value, known))
+                    hits = _hits(part.doc_id.to_numpy(), part.text.tolist(), shared.value, known)
+                    rows = [h for h in hits if h[2] >= FOUND_WORDS or h[3] >= least_words and h[4] >= least_share * h[3]]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "exact_words", "aligned_words", "equal_words"])
 
         hits = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(find, SCHEMA)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return spark.createDataFrame([], SCHEMA)
-    out = out.where((F.col("exact_words") >= FOUND_WORDS) | ((F.col("aligned_words") >= least_words) & (F.col("equal_words") >= least_share * F.col("aligned_words"))))
     best = F.max(F.struct("exact_words", "equal_words", "aligned_words")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.exact_words", "b.aligned_words", "b.equal_words")
 
