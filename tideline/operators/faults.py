@@ -51,13 +51,16 @@ def _neighbour_median(x: np.ndarray, lengths: np.ndarray, reach: int = 4) -> np.
 
 def _ordinary_scale(residual: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Standard deviation of the ordinary readings about the level. Ordered by size, ordinary readings end, if within the
-    largest 7 %, where the next one departs by at least ``LIMIT`` times the deviation of all before it."""
+    largest 7 %, where the next one departs by at least ``LIMIT`` times the deviation of all before it and twice as far as the
+    last of them."""
     size = np.sort(np.where(np.isnan(residual), np.inf, np.abs(residual)), axis=0)
     real = np.where(np.isinf(size), 0.0, size)
     count = np.arange(1, len(size) + 1)[:, None]
     deviation = np.sqrt(np.cumsum(real**2, axis=0) / count)
     after = np.roll(size, -1, axis=0)
-    jump = (after >= LIMIT * np.maximum(deviation, SMALLEST)) & (count >= 0.93 * lengths) & (count < lengths)
+    # Where the ordinary ones do not scatter at all, any other value would be a jump; then only a few may lie beyond it.
+    enough = np.where(deviation > SMALLEST, 0.93 * lengths, 0.99 * lengths - LONGEST)
+    jump = (after >= LIMIT * np.maximum(deviation, SMALLEST)) & (after >= 2 * size) & (count >= enough) & (count < lengths)
     at = np.where(jump.any(axis=0), jump.argmax(axis=0), lengths - 1)
     return np.maximum(np.take_along_axis(deviation, at[None], 0)[0], SMALLEST)
 

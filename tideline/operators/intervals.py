@@ -56,7 +56,7 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], shard_ms: int = SH
     shards = set_runs.groupBy(*part).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(clear).alias("inner")).drop("shard")
 
     # Full runs lie on shard borders, so a shard is either wholly inside one (then its clear runs are none) or apart from all.
-    w = Window.partitionBy(*entity).orderBy("lo", F.desc("hi"))
+    w = Window.partitionBy(*entity).orderBy("lo", F.desc("hi"), F.size("inner"))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = shards.unionByName(full).withColumns({"cover": F.max("hi").over(past), "last": F.lead("lo").over(w).isNull()})
     edge = F.when(F.col("lo") > F.col("cover"), F.array(F.struct(F.col("cover").alias("a"), F.col("lo").alias("b")))).otherwise(nothing)

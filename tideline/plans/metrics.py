@@ -46,8 +46,9 @@ def priced(s: SparkSession, d: str) -> DataFrame:
 
 
 def matched(s: SparkSession, d: str) -> DataFrame:
-    """Events of a session held against themselves an event later, as detections of labelled interactions."""
-    rows = table(s, d, "agent_events").select("session_id", "id", F.coalesce("description", F.lit("")).alias("element"), F.col("event_type").alias("action")).distinct()
+    """The first label (``K54-J9``) that events of a session name: even ids as labelled interactions, odd ones as detections."""
+    label = F.regexp_extract(F.coalesce("description", F.lit("")), r"[A-Za-z]\d+(?:-[A-Za-z]\d+)?", 0)
+    rows = table(s, d, "agent_events").select("session_id", "id", F.when(label != "", label).otherwise(F.col("event_type")).alias("element"), F.col("event_type").alias("action")).distinct()
     return me.greedy_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "session_id")
 
 
