@@ -94,7 +94,8 @@ def normal_form_of(text: str) -> str:
 
 
 def _by_value(texts: pd.Series, form) -> pd.Series:
-    return texts.map({t: form(t) for t in texts.dropna().unique()})
+    known = {t: form(t) for t in texts.dropna().unique()}
+    return pd.Series([known.get(t) for t in texts], dtype=object)
 
 
 @F.pandas_udf(T.StringType())

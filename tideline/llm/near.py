@@ -1,7 +1,7 @@
 """Near-duplicate records (problem 1): hash minima with banding, verification, and connected components.
 
-Texts. The set of ``SHINGLE`` consecutive words of each distinct word sequence is hashed under ``BANDS * ROWS`` universal
-functions; ``ROWS`` minima make a band key. The signatures verify a candidate by ``AGREE`` equal bands at least (at a
+Texts. The set of ``SHINGLE`` consecutive words of each distinct word sequence is hashed under many universal
+functions; a few minima make a band key. The signatures verify a candidate by ``AGREE`` equal bands at least (at a
 similarity of 0.5 a pair has 7.5 of them on average and fewer than 2 with a probability of 0.3 %; templates that are 0.08
 alike have 2 in one of 3000 pairs), its shingle sets then exactly. Equal word sequences are one node, so copies never meet
 each other in a band. A key that many nodes share is paired in blocks, in as many tasks as it has pairs of blocks.
@@ -16,6 +16,7 @@ block is split by the second, too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tideline.runtime import groups_for, written
 
-SHINGLE, ROWS, BANDS, AGREE, LEAST_WORDS = 3, 3, 60, 2, 15
+SHINGLE, AGREE, AGREEING_BANDS, LEAST_WORDS = 3, 2, 7.5, 15
+NODES_PER_KEY = 500_000
 ROWS_PER_GROUP, CROWDED, OCCUPANCY = 250_000, 2_000_000, 64
 
 
@@ -156,34 +158,43 @@ def _shingles(words: Column, shingle: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda k: F.xxhash64(F.slice(words, k + 1, shingle))))
 
 
+def banding(nodes: int, similarity: float) -> tuple[int, int]:
+    """Minima per band and bands: a band agrees at the threshold with a probability of about 1/8, less with more nodes (else
+    candidates would grow with their square), and there are so many that ``AGREEING_BANDS`` of them do at any size."""
+    rows = max(1, math.floor(math.log(1 / 8) / math.log(similarity) + 1e-9))
+    while nodes > NODES_PER_KEY:
+        rows, nodes = rows + 1, nodes / 8
+    return rows, math.ceil(AGREEING_BANDS / similarity**rows)
+
+
 def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20260101)
     return rng.integers(1, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, n, dtype=np.uint64)
 
 
-def _band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Keys of all bands of sets that lie one after another in ``flat`` (none empty). A band's key mixes its ``ROWS`` minima,
+def _band_keys(flat: np.ndarray, starts: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """Keys of all bands of sets that lie one after another in ``flat`` (none empty). A band's key mixes its ``rows`` minima,
     each of a multiply-add-shift hash."""
-    a, b = _universal(ROWS * BANDS)
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
+    a, b = _universal(rows * bands)
+    out = np.empty((len(starts), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(starts), band, np.uint64)
-        for k in range(band * ROWS, band * ROWS + ROWS):
+        for k in range(band * rows, band * rows + rows):
             key = (key ^ np.minimum.reduceat((flat * a[k] + b[k]) >> np.uint64(32), starts)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         out[:, band] = key
     return out
 
 
-def _sign(groups: int):
+def _sign(groups: int, rows: int, bands: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
                 sets = part.shingles.to_list()
                 sizes = np.array([len(x) for x in sets])
-                keys = _band_keys(np.concatenate(sets).view(np.uint64), np.cumsum(sizes) - sizes).ravel().view(np.int64)
-                yield pd.DataFrame({"g": (keys % groups).astype(np.int32), "key": keys, "nid": np.repeat(part.nid.to_numpy(), BANDS), "run": np.repeat(part.run.to_numpy(), BANDS)})
+                keys = _band_keys(np.concatenate(sets).view(np.uint64), np.cumsum(sizes) - sizes, rows, bands).ravel().view(np.int64)
+                yield pd.DataFrame({"g": (keys % groups).astype(np.int32), "key": keys, "nid": np.repeat(part.nid.to_numpy(), bands), "run": np.repeat(part.run.to_numpy(), bands)})
 
     return sign
 
@@ -230,12 +241,12 @@ def _meet_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _candidates(nodes: DataFrame, most: int) -> DataFrame:
+def _candidates(nodes: DataFrame, count: int, similarity: float, most: int) -> DataFrame:
     """(a, b) of nodes that agree in at least ``AGREE`` bands."""
-    spark = nodes.sparkSession
-    groups = groups_for(spark, nodes.count() * BANDS, ROWS_PER_GROUP)
-    bands = nodes.select("nid", "run", "shingles").mapInPandas(_sign(groups), "g int, key long, nid long, run int")
-    met = written(bands.groupBy("g").applyInPandas(_meet(most), MET))
+    rows, bands = banding(count, similarity)
+    groups = groups_for(nodes.sparkSession, count * bands, ROWS_PER_GROUP)
+    keys = nodes.select("nid", "run", "shingles").mapInPandas(_sign(groups, rows, bands), "g int, key long, nid long, run int")
+    met = written(keys.groupBy("g").applyInPandas(_meet(most), MET))
     blocks = F.ceil(F.col("n") / most).cast("int")
     over = met.where("b is null").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
@@ -258,7 +269,7 @@ def text_links(records: DataFrame, id_col: str, group_col: str, text_col: str, s
     run = F.when(F.col("g1") == F.col("g2"), F.hash("g1").bitwiseOR(F.lit(1))).otherwise(F.lit(0))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", run.alias("run"), "words"))
     spread = nodes.repartition(groups_for(nodes.sparkSession, 0, 1))
-    near = written(_candidates(spread.select("nid", "run", _shingles(F.split("words", " "), shingle).alias("shingles")), most))
+    near = written(_candidates(spread.select("nid", "run", _shingles(F.split("words", " "), shingle).alias("shingles")), nodes.count(), similarity, most))
     side = lambda x: nodes.select(F.col("nid").alias(x), F.col("node").alias(f"n{x}"), F.col("words").alias(f"w{x}"))
     met = near.join(side("a"), "a").join(side("b"), "b").select("na", "nb", *[_shingles(F.split(w, " "), shingle).alias(w) for w in ("wa", "wb")])
     both = F.size(F.array_intersect("wa", "wb"))
