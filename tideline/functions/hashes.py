@@ -51,7 +51,8 @@ def fnv1a_lower(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash(texts: pd.Series) -> pd.Series:
-    return texts.map({t: signature(t) for t in texts.dropna().unique()})
+    known = {t: signature(t) for t in texts.dropna().unique()}
+    return pd.Series([known.get(t) for t in texts], dtype=object)
 
 
 def agreement(a: str | Column, b: str | Column) -> Column:
@@ -64,7 +65,7 @@ def hmac_sha256(key: bytes):
 
     @F.pandas_udf(T.StringType())
     def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
+        return pd.Series([None if t is None else _hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in texts], dtype=object)
 
     return sign
 

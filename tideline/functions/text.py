@@ -82,7 +82,7 @@ def _first_object(text: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first complete JSON object in free text; null if there is none."""
-    return texts.map(_first_object)
+    return pd.Series([_first_object(t) for t in texts], dtype=object)
 
 
 def parsed_or_raw(payload: Column) -> Column:
