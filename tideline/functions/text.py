@@ -16,10 +16,10 @@ def cut(text: Column, chars: int) -> Column:
 
 def cut_bytes(text: Column, size: int) -> Column:
     """The longest beginning of at most ``size`` bytes that ends between characters."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, size)
-    # A character begins at a byte that is not 10xxxxxx; if the cut splits one, its whole length reaches beyond the size.
-    chars = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(None).cast("string"), lambda best, k: F.coalesce(best, F.when(F.octet_length(F.substring(text, F.lit(1), F.length(F.decode(raw, "UTF-8")) - k)) <= size, F.substring(text, F.lit(1), F.length(F.decode(raw, "UTF-8")) - k))))
-    return F.when(F.octet_length(text) <= size, text).when(F.octet_length(text) == F.length(text), F.substring(text, 1, size)).otherwise(chars)
+    # A cut that splits a character of up to four bytes is whole again at most three bytes before.
+    starts = [F.substring(F.encode(text, "UTF-8"), 1, size - k).cast("string") for k in range(min(4, size))]
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(x), x) for x in starts])
+    return F.when(F.octet_length(text) <= size, text).otherwise(whole)
 
 
 def unit(c: Column) -> Column:

@@ -166,7 +166,7 @@ def blob_allowed(events: DataFrame, sha: str, paths: dict[str, str]) -> DataFram
 
 def event_kinds(kinds: Column) -> Column:
     """A filter's kinds: trimmed, those of 1 to 96 bytes, each once, in order, 32 at most."""
-    ok = F.filter(F.transform(kinds, F.trim), lambda k: F.octet_length(k).between(1, 96))
+    ok = F.filter(F.transform(kinds, lambda k: F.trim(k)), lambda k: F.octet_length(k).between(1, 96))
     return F.slice(F.array_sort(F.array_distinct(ok)), 1, 32)
 
 

@@ -18,12 +18,12 @@ def checksum_frames(lines: DataFrame) -> DataFrame:
     """Frames of checksum lists (path, position, value): ``#tb s: a/b`` gives the time base, a row is
     ``stream, dts, pts, duration, size, hash``. The hash's first 16 digits stand in for a picture hash, the next two for luma,
     two more for noise."""
-    base = F.regexp_extract("value", r"^#tb\s+\d+:\s*(\d+)/(\d+)", F.lit(1))
-    per = F.regexp_extract("value", r"^#tb\s+\d+:\s*(\d+)/(\d+)", F.lit(2))
+    base = F.regexp_extract("value", r"^#tb\s+\d+:\s*(\d+)/(\d+)", 1)
+    per = F.regexp_extract("value", r"^#tb\s+\d+:\s*(\d+)/(\d+)", 2)
     heads = lines.where("value like '#tb%'").groupBy("path").agg(F.max(base.try_cast("long")).alias("num"), F.max(per.try_cast("long")).alias("den"))
-    p = F.transform(F.split("value", ","), F.trim)
+    p = F.transform(F.split("value", ","), lambda x: F.trim(x))
     rows = lines.where("value not like '#%'").select("path", "position", p.alias("p")).where(F.size("p") >= 6)
-    rows = rows.select("path", "position", F.get("p", F.lit(2)).try_cast("long").alias("pts"), F.lower(F.get("p", F.lit(5))).alias("sum")).where(F.col("pts").isNotNull() & F.col("sum").rlike("^[0-9a-f]{20,}$"))
+    rows = rows.select("path", "position", F.col("p")[2].try_cast("long").alias("pts"), F.lower(F.col("p")[5]).alias("sum")).where(F.col("pts").isNotNull() & F.col("sum").rlike("^[0-9a-f]{20,}$"))
     digits = lambda a, n: F.conv(F.substring("sum", a, n), 16, 10).cast("double")
     rows = rows.join(heads, "path", "left").select(
         "path", (F.row_number().over(Window.partitionBy("path").orderBy("position")) - 1).cast("long").alias("frame_index"),
