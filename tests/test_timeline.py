@@ -161,3 +161,17 @@ def test_streaming_windows(spark, tmp_path):
     for k, (query, want) in enumerate([(sinks.windowed_counts(stream(), "t"), 1), (sinks.unique_events(stream(), "t"), 2)]):
         query.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c{k}").trigger(availableNow=True).start(f"{tmp_path}/o{k}").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/o{k}").count() == want
+
+
+def test_windows_over_chunks_agree_with_whole_streams(spark):
+    import random
+
+    from tideline.operators.chunks import over_chunks
+
+    rng = random.Random(9)
+    index = sorted(rng.sample(range(40_000), 3000))
+    data = [("hot", i, n, rng.getrandbits(63), rng.random()) for n, i in enumerate(index)] + [("b", i, 5000 + i, i, 0.5) for i in range(20)]
+    df = spark.createDataFrame(data, "stream_id string, frame_index long, frame_id long, perceptual_hash long, luma_mean double")
+    for step, back in ((lambda f, k=("stream_id",): wi.motion(wi.window_scores(f, keys=k), k), 16), (lambda f, k=("stream_id",): wi.loops(f, 30, keys=k), 9)):
+        whole = rows(step(df))
+        assert rows(over_chunks(df, step, back, chunk=256).select(step(df).columns)) == whole

@@ -19,13 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.chunks import in_chunks
 from tideline.runtime import groups_for, written
 
 MEASURES = ("luma_mean", "flicker_score", "noise_variance_score")
 SUSPECT, LIMIT, LONGEST = 6.0, 10.0, 3
 LEVEL_WEIGHT, SCALE_WEIGHT, CLIP = 0.2, 0.02, 3.0
 STUCK = 10
-BLOCK, CHUNK, HALO = 64, 4096, 512
+CHUNK, HALO = 4096, 512
 ROWS_PER_GROUP = 100_000
 SMALLEST = 1e-6
 
@@ -183,28 +184,10 @@ def faults(frames: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame
     """
     spark = frames.sparkSession
     rows = frames.select("frame_id", "stream_id", "frame_index", *MEASURES).where("frame_id is not null and stream_id is not null and frame_index is not null")
-    rows = rows.withColumn("block", F.floor(F.col("frame_index") / BLOCK))
-    # One bit per index present: the number of frames of a block, repeated rows or not.
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("frame_index", F.lit(BLOCK)).cast("int"))
-    blocks = rows.groupBy("stream_id", "block").agg(F.bit_count(F.bit_or(bit)).cast("long").alias("n"), F.count("*").alias("rows"))
-    w = Window.partitionBy("stream_id")
-    blocks = blocks.withColumn("frames", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("block")) - F.col("n"))
-    n_rows = written(blocks.groupBy(F.col("frames") > chunk).agg(F.sum("rows").alias("rows")))
-    total = n_rows.agg(F.sum("rows")).first()[0] or 0
-    c = F.floor(F.col("before") / chunk)
-    place = lambda k, own: F.struct(k.cast("long").alias("chunk"), F.lit(own).alias("own"))
-    places = F.array_compact(F.array(
-        place(c, True),
-        F.when(F.col("before") + F.col("n") > (c + 1) * chunk - halo, place(c + 1, False)),
-        F.when((c > 0) & (F.col("before") < c * chunk + halo), place(c - 1, False)),
-    ))
-    long_streams = written(blocks.where(F.col("frames") > chunk).select("stream_id", "block", places.alias("places")))
-    rows = rows.join(long_streams, ["stream_id", "block"], "left")
-    whole = F.array(place(F.lit(0), True))
-    rows = rows.withColumn("long", F.col("places").isNotNull()).withColumn("p", F.explode(F.coalesce("places", whole)))
+    rows, total = in_chunks(rows, "stream_id", "frame_index", chunk, halo)
     groups = groups_for(spark, total, ROWS_PER_GROUP)
     sent = rows.select(
-        F.pmod(F.xxhash64("stream_id", "p.chunk"), F.lit(groups)).cast("int").alias("g"), F.xxhash64("stream_id").alias("s"), "p.chunk", "p.own", "long", "frame_id", "frame_index",
+        F.pmod(F.xxhash64("stream_id", "chunk"), F.lit(groups)).cast("int").alias("g"), F.xxhash64("stream_id").alias("s"), "chunk", "own", "long", "frame_id", "frame_index",
         F.when(F.col("long"), F.col("stream_id")).alias("stream_id"), *MEASURES, *[F.col(m).isNull().alias(f"no_{m}") for m in MEASURES],
     )
     judged = written(sent.groupBy("g").applyInPandas(_judge, FAULT))
@@ -213,7 +196,7 @@ def faults(frames: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame
     # Stuck values of streams in chunks: whether one is the stream's rest takes counts over all its chunks.
     open_ = judged.where("stream_id is not null")
     streams = open_.select("stream_id").distinct()
-    shown = rows.where("p.own").join(streams, "stream_id", "left_semi").select("stream_id", "frame_id", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("r"))
+    shown = rows.where("own").join(streams, "stream_id", "left_semi").select("stream_id", "frame_id", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("r"))
     counts = shown.select("stream_id", "frame_id", "r.*").distinct().groupBy("stream_id", "measure", "value").agg(F.count("*").alias("n"))
     frames_of = F.sum("n").over(Window.partitionBy("stream_id", "measure"))
     rest = counts.withColumn("frames", frames_of).where("2 * n > frames").select("stream_id", "measure", "value")

@@ -18,18 +18,18 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def motion(frames: DataFrame) -> DataFrame:
+def motion(frames: DataFrame, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """Share of hash bits that changed since the frame before; 0 at the first."""
-    w = ordered("stream_id")
+    w = ordered(*keys)
     return frames.withColumn("motion", F.coalesce(distance(F.col("perceptual_hash"), F.lag("perceptual_hash").over(w)), F.lit(0.0)))
 
 
-def window_scores(frames: DataFrame, size: int = 16) -> DataFrame:
+def window_scores(frames: DataFrame, size: int = 16, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """Novelty (mean share of differing bits) and stability (1 - mean change of luma) against up to ``size`` frames before;
     both 1 at the first."""
     if not 2 <= size <= 256:
         raise ValueError("a window has 2 to 256 frames")
-    near = F.collect_list(F.struct(F.col("perceptual_hash").alias("h"), F.col("luma_mean").alias("l"))).over(ordered("stream_id").rowsBetween(-size, -1))
+    near = F.collect_list(F.struct(F.col("perceptual_hash").alias("h"), F.col("luma_mean").alias("l"))).over(ordered(*keys).rowsBetween(-size, -1))
     mean = lambda f: F.aggregate("near", F.lit(0.0), lambda acc, x: acc + f(x)) / F.size("near")
     rows = frames.withColumn("near", near)
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
@@ -44,9 +44,9 @@ def confidence(novelty: Column, stability: Column, motion: Column, weights: tupl
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), novelty * a + (1 - stability) * b + motion * c))
 
 
-def deltas(frames: DataFrame, live: bool = True) -> DataFrame:
+def deltas(frames: DataFrame, live: bool = True, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """Change of luma and noise since the frame before. At the first frame 0 live, from 0 in files."""
-    w = ordered("stream_id")
+    w = ordered(*keys)
     first = (lambda c: F.coalesce(F.lag(c).over(w), F.col(c))) if live else (lambda c: F.lag(c, 1, 0.0).over(w))
     return frames.withColumns({"luma_delta": F.abs(F.col("luma_mean") - first("luma_mean")), "noise_delta": F.abs(F.col("noise_variance_score") - first("noise_variance_score"))})
 
@@ -59,10 +59,10 @@ def normal_time(frames: DataFrame, num: int, den: int) -> DataFrame:
     return frames.withColumn("_ms", ms).withColumn("normal_ms", F.max("_ms").over(w)).drop("_ms")
 
 
-def loops(frames: DataFrame, bits: int = 6, repeats: int = 3, ring: int = 8) -> DataFrame:
+def loops(frames: DataFrame, bits: int = 6, repeats: int = 3, ring: int = 8, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """Whether at least ``repeats`` of the last ``ring`` hashes are nearer than ``bits``; before the first frames the ring holds
     all-ones. ``enters`` marks a loop's first frame."""
-    w = ordered("stream_id")
+    w = ordered(*keys)
     past = F.collect_list("perceptual_hash").over(w.rowsBetween(-ring, -1))
     near = F.size(F.filter(F.col("past"), lambda h: F.bit_count(h.bitwiseXOR(F.col("perceptual_hash"))) < bits))
     pad = F.when(F.bit_count(F.col("perceptual_hash").bitwiseXOR(F.lit(ALL_ONES).cast("long"))) < bits, ring - F.size("past")).otherwise(0)

@@ -12,6 +12,7 @@ from tideline.operators import machines as m
 from tideline.operators import moments as mo
 from tideline.operators import trigger as tr
 from tideline.operators import windows as w
+from tideline.operators.chunks import over_chunks
 from tideline.operators.fold import fold
 from tideline.runtime import table
 
@@ -49,8 +50,13 @@ def agents(s: SparkSession, d: str) -> DataFrame:
 A_SQL = "a AS (SELECT DISTINCT id, session_id, run_id, frame_index, pts_ms, event_type, confidence, description FROM agent_events)"
 
 
+def spread(s: SparkSession, d: str, step, look_back: int = 1) -> DataFrame:
+    """A window operator over all frames, long streams in chunks."""
+    return over_chunks(frames(s, d), step, look_back)
+
+
 def scored(s: SparkSession, d: str) -> DataFrame:
-    return w.motion(w.window_scores(frames(s, d)))
+    return spread(s, d, lambda f, k: w.motion(w.window_scores(f, keys=k), k), 16)
 
 
 def gate(s: SparkSession, d: str) -> DataFrame:
@@ -135,13 +141,13 @@ def budget(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "fr_motion": lambda s, d: rounded(w.motion(frames(s, d)).select("frame_id", "motion"), "motion"),
-    "fr_window_scores": lambda s, d: rounded(w.window_scores(frames(s, d)).select("frame_id", "novelty", "stability"), "novelty", "stability"),
+    "fr_motion": lambda s, d: rounded(spread(s, d, w.motion).select("frame_id", "motion"), "motion"),
+    "fr_window_scores": lambda s, d: rounded(spread(s, d, lambda f, k: w.window_scores(f, keys=k), 16).select("frame_id", "novelty", "stability"), "novelty", "stability"),
     "fr_confidence": lambda s, d: rounded(scored(s, d).select("frame_id", w.confidence(F.col("novelty"), F.col("stability"), F.col("motion")).alias("confidence")), "confidence"),
-    "fr_deltas_live": lambda s, d: rounded(w.deltas(frames(s, d)).select("frame_id", "luma_delta", "noise_delta"), "luma_delta", "noise_delta"),
-    "fr_deltas_file": lambda s, d: rounded(w.deltas(frames(s, d), live=False).select("frame_id", "luma_delta", "noise_delta"), "luma_delta", "noise_delta"),
+    "fr_deltas_live": lambda s, d: rounded(spread(s, d, lambda f, k: w.deltas(f, keys=k)).select("frame_id", "luma_delta", "noise_delta"), "luma_delta", "noise_delta"),
+    "fr_deltas_file": lambda s, d: rounded(spread(s, d, lambda f, k: w.deltas(f, False, k)).select("frame_id", "luma_delta", "noise_delta"), "luma_delta", "noise_delta"),
     "fr_normal_time": lambda s, d: w.normal_time(frames(s, d).withColumn("pts", F.col("pts_ms") * 90), 1, 90_000).select("frame_id", "normal_ms"),
-    "fr_loops": lambda s, d: w.loops(frames(s, d)).select("frame_id", "loop", "enters"),
+    "fr_loops": lambda s, d: spread(s, d, lambda f, k: w.loops(f, keys=k), 9).select("frame_id", "loop", "enters"),
     "fr_emitted": lambda s, d: w.emitted(agents(s, d), "session_id", "description", ("pts_ms", "id")).select("id", "suppressed"),
     "fr_transitions": lambda s, d: rounded(w.transitions(agents(s, d), "session_id", "description", ("pts_ms", "id")).select("id", "similarity"), "similarity"),
     "fr_context": lambda s, d: agents(s, d).select("id", F.lag("description").over(w.ordered("session_id", by=("pts_ms", "id"))).alias("previous")),

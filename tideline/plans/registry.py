@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.operators import faults, intervals, messages
-from tideline.plans import frames, metrics, timeline
+from tideline.plans import frames, live, metrics, timeline
 from tideline.runtime import table
 
 DATA = {
@@ -36,8 +36,8 @@ DATA_SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return DATA | timeline.QUERIES | frames.QUERIES | metrics.QUERIES
+    return DATA | timeline.QUERIES | frames.QUERIES | metrics.QUERIES | live.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return DATA_SQL | timeline.SQL | frames.SQL | metrics.SQL
+    return DATA_SQL | timeline.SQL | frames.SQL | metrics.SQL | live.SQL
