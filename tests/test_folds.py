@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from tideline.functions import hashes
 from tideline.operators import machines as m
 from tideline.operators import trigger as tr
 from tideline.operators.fold import fold, stream_fold
@@ -21,11 +20,8 @@ def run(machine, data):
     return [x for row in data for x in machine(row)] + list(machine.finish())
 
 
-def test_gate_replay_and_fingerprint():
-    out = run(m.Gate(), REPLAY)
-    assert [(x[2], x[3]) for x in out] == DECIDED
-    codes = {"keep_keyframe": "keep_keyframe", "suspect_artifact": "suspect_artifact", "skip": "skip"}
-    assert hashes.fingerprint([(codes[x[2]], x[3], x[0]) for x in out]) != 0
+def test_gate_replay():
+    assert [(x[2], x[3]) for x in run(m.Gate(), REPLAY)] == DECIDED
 
 
 def test_gate_compares_with_the_kept_frame():
@@ -110,7 +106,7 @@ def test_batch_stream_and_plain_loop_agree(spark, tmp_path):
 
 
 def test_fold_of_nothing(spark):
-    assert rows(fold(frames(spark, 0) if False else spark.createDataFrame([], FRAMES), ["stream_id"], ["frame_index"], m.GATE_COLUMNS, m.Gate, m.GATE_SCHEMA)) == []
+    assert rows(fold(spark.createDataFrame([], FRAMES), ["stream_id"], ["frame_index"], m.GATE_COLUMNS, m.Gate, m.GATE_SCHEMA)) == []
 
 
 SOURCE = """
