@@ -18,15 +18,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: a cut lineage that survives lost executors,
     with a file size that lets the planner decide on a broadcast by measured bytes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that operators have written so far and gives their number. DataFrames that operators returned read
+    from these tables, so call this once their results are stored."""
+    removed = 0
+    while _tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        removed += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return removed
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions that a wide stage gets by default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
