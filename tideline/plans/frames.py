@@ -255,6 +255,6 @@ SQL = {
         CASE WHEN NOT needs THEN description WHEN kind = 'speech' THEN 'Speaker: ' || substr(trim(transcript), 1, 1000) WHEN list_contains(modalities, 'video') THEN 'Visible activity overlaps local audio event: ' || labels ELSE 'Local audio event: ' || labels END AS description, coalesce(support, 0) AS support
         FROM nd LEFT JOIN b USING (moment_id) LEFT JOIN s USING (moment_id) WHERE NOT needs OR support IS NOT NULL""",
     "mo_top": f"WITH {M_SQL} SELECT stream_id, arg_max(moment_id, (confidence, start_ms, moment_id)) AS moment_id, round(CAST(max(confidence) AS DOUBLE), 12) AS confidence FROM m GROUP BY 1",
-    "mo_best_observations": f"""WITH {O_SQL}, x AS (SELECT stream_id, start_ms, end_ms, kind, label, max(confidence) AS confidence FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_ms, confidence DESC, label) AS rank FROM x)
+    "mo_best_observations": f"""WITH {O_SQL}, x AS (SELECT stream_id, start_ms, end_ms, kind, label, max(confidence) AS confidence FROM o GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY start_ms, confidence DESC, label) AS INT) AS rank FROM x)
         SELECT * REPLACE (round(CAST(confidence AS DOUBLE), 12) AS confidence) FROM r WHERE rank <= 5""",
 }

@@ -149,7 +149,7 @@ SQL = {
     "tl_delivery_state": f"""WITH {LOG} SELECT run_id AS webhook_id, count(*) FILTER (WHERE k % 10 < 6) AS delivered, count(*) FILTER (WHERE k % 10 = 6) AS dead_letters,
         coalesce(max(seq) FILTER (WHERE k % 10 < 8), 0) AS last_terminal_seq, arg_max('e' || k, seq) FILTER (WHERE k % 10 = 6) AS last_error FROM t GROUP BY 1""",
     "tl_policy_replay": f"""WITH {LOG}, c AS (SELECT k / 100.0 AS score FROM t WHERE kind = 'inference_completed' AND seq >= 10) SELECT count(*) AS candidates,
-        count(*) FILTER (WHERE CAST(score AS DOUBLE) >= CAST(CAST(0.4 AS FLOAT) AS DOUBLE)) AS accepted, count(*) FILTER (WHERE CAST(score AS DOUBLE) < CAST(CAST(0.4 AS FLOAT) AS DOUBLE)) AS rejected, 0 AS without_score FROM c""",
+        count(*) FILTER (WHERE CAST(score AS DOUBLE) >= CAST(CAST(0.4 AS FLOAT) AS DOUBLE)) AS accepted, count(*) FILTER (WHERE CAST(score AS DOUBLE) < CAST(CAST(0.4 AS FLOAT) AS DOUBLE)) AS rejected, CAST(0 AS BIGINT) AS without_score FROM c""",
     "tl_append": f"""WITH {LOG}, n AS (SELECT 'run-' || s_suppkey AS run_id, 'stream-' || s_suppkey AS stream_id, s_suppkey FROM supplier WHERE 'run-' || s_suppkey NOT IN (SELECT run_id FROM t WHERE kind = 'run_deleted'))
         SELECT (SELECT max(seq) FROM t) + row_number() OVER (ORDER BY s_suppkey) AS seq, run_id, stream_id, {NOW} AS pts_ms, 'vlm' AS kind, '{{}}' AS payload FROM n""",
     "tl_cloud_event": f"WITH {LOG} SELECT seq, run_id || ':' || seq AS id, 'timeline.' || kind AS type, stream_id AS subject, {ISO.format('pts_ms')} AS time FROM t",
