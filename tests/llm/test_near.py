@@ -100,6 +100,22 @@ def test_texts_with_edits(spark, most):
     assert sorted(got, key=str) == brute(data)
 
 
+def test_a_crowded_key_is_spread_and_loses_no_pair(spark):
+    rng = random.Random(8)
+    base = long_text(rng, 40)
+    data = []
+    for k in range(80):
+        t = list(base)
+        t[rng.randrange(40)] = f"edit{k}"
+        data.append((k, f"run{k % 4}", " ".join(t)))
+    got = {m: rows(near.text_pairs(events(spark, data), "id", "run_id", "description", **({} if m else {"similarity": 0.5}))) for m in (0, 1)}
+    links, _ = near.text_links(events(spark, data), "id", "run_id", "description", most=30)
+    whole, _ = near.text_links(events(spark, data), "id", "run_id", "description")
+    assert got[0] == got[1] == brute(data)
+    pair = lambda df: {tuple(sorted(r)) for r in df.collect()}
+    assert pair(links) == pair(whole) and links.count() == whole.count() > 2000
+
+
 def test_text_edges(spark):
     words = " ".join(f"w{k}" for k in range(15))
     very_long = " ".join(f"v{k}" for k in range(20_000))

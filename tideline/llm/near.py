@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tideline.runtime import groups_for, written
 
 SHINGLE, AGREE, AGREEING_BANDS, LEAST_WORDS = 3, 2, 7.5, 15
-NODES_PER_KEY = 500_000
+NODES_PER_KEY, SAMPLE = 500_000, 5_000
 ROWS_PER_GROUP, CROWDED, OCCUPANCY = 250_000, 2_000_000, 64
 
 
@@ -186,7 +186,19 @@ def _band_keys(flat: np.ndarray, starts: np.ndarray, rows: int, bands: int) -> n
     return out
 
 
-def _sign(groups: int, rows: int, bands: int):
+def _crowded(keys: np.ndarray, hot: dict[int, int]) -> np.ndarray:
+    """Number of nodes expected under each key that the sample found crowded, 0 for others."""
+    if not hot:
+        return np.zeros(len(keys), np.int64)
+    known = np.array(sorted(hot), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, np.array([hot[k] for k in known.tolist()], np.int64)[at], 0)
+
+
+def _sign(groups: int, rows: int, bands: int, hot: dict[int, int], most: int):
+    """Rows (g, key, nid, run) of nodes, one per band. The rows of a crowded key are spread over the groups, about ``most`` to
+    one; ``_meet`` only hands them on."""
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
@@ -194,7 +206,9 @@ def _sign(groups: int, rows: int, bands: int):
                 sets = part.shingles.to_list()
                 sizes = np.array([len(x) for x in sets])
                 keys = _band_keys(np.concatenate(sets).view(np.uint64), np.cumsum(sizes) - sizes, rows, bands).ravel().view(np.int64)
-                yield pd.DataFrame({"g": (keys % groups).astype(np.int32), "key": keys, "nid": np.repeat(part.nid.to_numpy(), bands), "run": np.repeat(part.run.to_numpy(), bands)})
+                nid, n = np.repeat(part.nid.to_numpy(), bands), _crowded(keys, hot)
+                g = np.where(n > 0, keys % groups + nid % (n // most + 1), keys) % groups
+                yield pd.DataFrame({"g": g.astype(np.int32), "key": keys, "nid": nid, "run": np.repeat(part.run.to_numpy(), bands)})
 
     return sign
 
@@ -202,15 +216,17 @@ def _sign(groups: int, rows: int, bands: int):
 MET = "a long, b long, key long, run int, n int"
 
 
-def _meet(most: int):
+def _meet(most: int, hot: dict[int, int]):
     """Pairs (a < b) of one group's rows that share a key and are not of one run. The rows of a key that more than ``most``
-    nodes share are handed on instead (b is null, n their number), to be paired in blocks."""
+    nodes share are handed on instead (b is null, n about their number), to be paired in blocks."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(pdf.key.to_numpy(), kind="stable")
         key, nid, run = (pdf[c].to_numpy()[order] for c in ("key", "nid", "run"))
         ends, begins = np.searchsorted(key, key, "right"), np.searchsorted(key, key, "left")
-        crowded = ends - begins > most
+        expected = _crowded(key, hot)
+        number = np.where(expected > 0, expected, ends - begins)
+        crowded = (number > most) | (expected > 0)
         p, k, found = np.flatnonzero(~crowded), 1, [np.zeros((2, 0), np.int64)]
         while True:
             p = p[p + k < ends[p]]
@@ -222,7 +238,7 @@ def _meet(most: int):
             k += 1
         a, b = np.concatenate(found, axis=1)
         pairs = pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "key": np.int64(0), "run": np.int32(0), "n": np.int32(0)})
-        over = pd.DataFrame({"a": nid, "b": pd.array([pd.NA] * len(nid), "Int64"), "key": key, "run": run, "n": (ends - begins).astype(np.int32)})[crowded]
+        over = pd.DataFrame({"a": nid, "b": pd.array([pd.NA] * len(nid), "Int64"), "key": key, "run": run, "n": number.astype(np.int32)})[crowded]
         return pd.concat([pairs, over])
 
     return meet
@@ -245,8 +261,14 @@ def _candidates(nodes: DataFrame, count: int, similarity: float, most: int) -> D
     """(a, b) of nodes that agree in at least ``AGREE`` bands."""
     rows, bands = banding(count, similarity)
     groups = groups_for(nodes.sparkSession, count * bands, ROWS_PER_GROUP)
-    keys = nodes.select("nid", "run", "shingles").mapInPandas(_sign(groups, rows, bands), "g int, key long, nid long, run int")
-    met = written(keys.groupBy("g").applyInPandas(_meet(most), MET))
+    data, schema = nodes.select("nid", "run", "shingles"), "g int, key long, nid long, run int"
+    # Which keys are crowded, from about SAMPLE nodes. It only decides where rows go: a key that many nodes share must not
+    # come to one task. A key found here or not gives the same pairs.
+    every = max(1, count // SAMPLE)
+    seen = data.where(F.pmod(F.xxhash64("nid"), F.lit(every)) == 0).mapInPandas(_sign(groups, rows, bands, {}, most), schema)
+    hot = {r[0]: min(r[1] * every, (1 << 31) - 1) for r in seen.groupBy("key").count().where(F.col("count") > max(8, most / every)).toLocalIterator()}
+    keys = data.mapInPandas(_sign(groups, rows, bands, hot, most), schema)
+    met = written(keys.groupBy("g").applyInPandas(_meet(most, hot), MET))
     blocks = F.ceil(F.col("n") / most).cast("int")
     over = met.where("b is null").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
