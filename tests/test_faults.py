@@ -95,3 +95,37 @@ def test_chunks_of_a_resting_stream_with_holes(spark):
 
 
 SCHEMA_REST = ["luma_mean", "flicker_score", "noise_variance_score", "block", "s", "g"]
+
+
+def spiked(n, at, **kw):
+    v = noise(n, **kw)
+    for k in at:
+        v[k] = 0.9
+    return v, {(k, "spike") for k in at}
+
+
+def test_spikes_are_any_share_of_a_short_stream(spark):
+    for n, at in ((12, (5,)), (30, (12, 13, 14)), (82, (20, 21, 22, 60, 61, 62)), (60, (9, 18, 19, 20, 30, 31, 39, 48, 49, 50))):
+        v, want = spiked(n, at)
+        assert found(made(spark, {"a": v})) == want
+    v, want = spiked(30, (12, 13, 14))
+    assert found(made(spark, {"a": [None] * 20 + v + [1.5] * 20})) == {(k + 20, f) for k, f in want} | {(k, "impossible") for k in range(50, 70)}
+
+
+def test_streams_of_a_few_readings(spark):
+    assert found(made(spark, {"a": [0.5, 0.9], "b": [0.5, 0.5, 0.9], "c": [0.4]})) == set()
+
+
+def test_a_dense_burst_of_spikes_in_one_chunk(spark):
+    for step in (40, 25, 15):  # 7.5, 12 and 20 % of a chunk's readings
+        v, want = spiked(6000, [k + j for k in range(2100, 4000, step) for j in range(3)], scatter=0.01)
+        assert found(made(spark, {"a": v}), chunk=1024, halo=128) == want
+
+
+def test_spikes_of_a_resting_stream_beside_what_scatters_ordinarily(spark):
+    rng = np.random.default_rng(8)
+    v = [0.0 if rng.random() < 0.6 else 0.01 + 0.01 * float(rng.random()) for _ in range(300)]
+    at = [k + j for k in range(20, 290, 30) for j in range(3)]
+    for k in at:
+        v[k] = 0.8
+    assert found(made(spark, {"a": v})) == {(k, "spike") for k in at}

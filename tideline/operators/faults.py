@@ -1,7 +1,7 @@
 """Faulty readings (problem 4): physical limits, run-length counters and robust exponentially weighted control charts.
 
 Per stream and measure a chart follows level and scale with exponential weights. A reading further than ``SUSPECT`` scales
-from the level is suspected: it is clipped before it updates either, and counted. After more than ``LONGEST`` suspected
+from the level is suspected: it updates neither, however many there are, and is counted. After more than ``LONGEST`` suspected
 readings in a row the chart takes their level as the new one, and that run is no spike. Charts run forwards and backwards;
 a spike is a short run that departs from the level on both of its sides, so neither a change of level nor its return is one.
 The departure is then held exactly against ``LIMIT`` times the standard deviation of the ordinary readings.
@@ -43,7 +43,8 @@ def _neighbour_median(x: np.ndarray, lengths: np.ndarray, reach: int = 4) -> np.
     near = np.full((2 * reach + 1, *x.shape), np.nan)
     for k in range(-reach, reach + 1):
         a, b = max(0, -k), x.shape[0] - max(0, k)
-        near[k + reach, a:b] = x[a + k : b + k]
+        if a < b:  # else the series are shorter than that reach
+            near[k + reach, a:b] = x[a + k : b + k]
     near.sort(axis=0)  # lacking ones go last
     count = np.minimum(steps, reach) + np.minimum(np.maximum(lengths - 1 - steps, 0), reach) + 1
     lo = np.take_along_axis(near, ((count - 1) // 2)[None], 0)[0]
@@ -51,16 +52,19 @@ def _neighbour_median(x: np.ndarray, lengths: np.ndarray, reach: int = 4) -> np.
 
 
 def _ordinary_scale(residual: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Standard deviation of the ordinary readings about the level. Ordered by size, ordinary readings end, if within the
-    largest 7 %, where the next one departs by at least ``LIMIT`` times the deviation of all before it and twice as far as the
-    last of them."""
+    """Standard deviation of the ordinary readings about the level. Ordered by size, ordinary readings end where the next one
+    departs by at least ``LIMIT`` times the deviation of all before it and twice as far as the last of them. They are more than
+    half of the readings that are off the level at all, and more than ``LONGEST``, as fewer hold no level."""
     size = np.sort(np.where(np.isnan(residual), np.inf, np.abs(residual)), axis=0)
     real = np.where(np.isinf(size), 0.0, size)
     count = np.arange(1, len(size) + 1)[:, None]
     deviation = np.sqrt(np.cumsum(real**2, axis=0) / count)
     after = np.roll(size, -1, axis=0)
+    # Most readings of a resting series are on its level, so half of the others counts; a few beyond all others always may be spikes.
+    level = (size <= SMALLEST).sum(axis=0)
+    most = np.minimum((lengths + level) // 2 + 1, np.ceil(0.93 * lengths))
     # Where the ordinary ones do not scatter at all, any other value would be a jump; then only a few may lie beyond it.
-    enough = np.where(deviation > SMALLEST, 0.93 * lengths, 0.99 * lengths - LONGEST)
+    enough = np.maximum(np.where(deviation > SMALLEST, most, 0.99 * lengths - LONGEST), LONGEST + 1)
     jump = (after >= LIMIT * np.maximum(deviation, SMALLEST)) & (after >= 2 * size) & (count >= enough) & (count < lengths)
     at = np.where(jump.any(axis=0), jump.argmax(axis=0), lengths - 1)
     return np.maximum(np.take_along_axis(deviation, at[None], 0)[0], SMALLEST)
@@ -78,9 +82,9 @@ def _chart(x: np.ndarray, lengths: np.ndarray, scale: np.ndarray) -> tuple[np.nd
         r = x[t, :n] - m[:n]
         odd = np.abs(r) > SUSPECT * s
         level_at[t, :n], suspected[t, :n] = m[:n], odd
-        r = np.clip(r, -CLIP * s, CLIP * s)
+        r = np.where(odd, 0.0, np.clip(r, -CLIP * s, CLIP * s))
         m[:n] += LEVEL_WEIGHT * r
-        v[:n] += SCALE_WEIGHT * (r * r - v[:n])
+        v[:n] += np.where(odd, 0.0, SCALE_WEIGHT * (r * r - v[:n]))
         recent[counter[:n], np.arange(n)] = x[t, :n]
         counter[:n] = np.where(odd, counter[:n] + 1, 0)
         full = np.flatnonzero(counter[:n] > LONGEST)
