@@ -17,6 +17,7 @@ from tideline.operators.fold import fold
 from tideline.runtime import table
 
 SCORES = ("luma_mean", "flicker_score", "ghosting_score", "noise_variance_score")
+NO_END = (1 << 63) - 1  # the tables do not say where a source ends, so no time is beyond it
 PROGRAM = """
 trigger moving version 1
 when motion_score >= 0.10 for 2 frames
@@ -90,7 +91,7 @@ O_SQL = M_SQL + """, o AS (SELECT moment_id AS observation_id, stream_id, start_
 
 
 def audio(s: SparkSession, d: str) -> DataFrame:
-    rows = observations(s, d).select("stream_id", "observation_id", F.lit(1000).cast("long").alias("source_start_ms"), F.lit(4_000_000).cast("long").alias("source_end_ms"), F.col("start_ms").alias("start_offset_ms"), F.col("end_ms").alias("end_offset_ms"), "kind", "label", "transcript", "confidence")
+    rows = observations(s, d).select("stream_id", "observation_id", F.lit(1000).cast("long").alias("source_start_ms"), F.lit(NO_END).alias("source_end_ms"), F.col("start_ms").alias("start_offset_ms"), F.col("end_ms").alias("end_offset_ms"), "kind", "label", "transcript", "confidence")
     return mo.audio_moments(rows).select("observation_id", "start_offset_ms", "end_offset_ms", "start_pts_ms", "end_pts_ms", "kind", "description")
 
 
@@ -165,7 +166,7 @@ QUERIES = {
     "fold_time_chunks": lambda s, d: _fold(frames(s, d), "stream_id", ["frame_index"], ["pts_ms", "frame_id"], partial(m.TimeChunks, 5000), "frame_id long, pts_ms long, chunk long, chunk_start_ms long"),
     "fold_clips": lambda s, d: _fold(frames(s, d), "stream_id", ["frame_index"], ["pts_ms", "frame_index"], m.Clips, m.CLIP_SCHEMA),
     "fold_token_budget": budget,
-    "fold_speech_ranges": lambda s, d: rounded(_fold(observations(s, d).where("kind = 'speech'"), "stream_id", ["start_ms", "end_ms", "confidence"], ["start_ms", "end_ms", "confidence"], partial(m.SpeechRanges, 100_000_000), "a_ms long, b_ms long, confidence double"), "confidence"),
+    "fold_speech_ranges": lambda s, d: rounded(_fold(observations(s, d).where("kind = 'speech'"), "stream_id", ["start_ms", "end_ms", "confidence"], ["start_ms", "end_ms", "confidence"], partial(m.SpeechRanges, NO_END), "a_ms long, b_ms long, confidence double"), "confidence"),
     "fold_transcript": lambda s, d: _fold(observations(s, d).where("kind = 'speech'"), "stream_id", ["start_ms", "end_ms", "transcript"], ["start_ms", "end_ms", "transcript"], m.Transcript, "a_ms long, b_ms long, text string"),
     "fold_moment_dedup": lambda s, d: _fold(moments(s, d).withColumn("n", F.size("modalities")), "stream_id", ["start_ms", "end_ms", "kind", "moment_id"], ["start_ms", "end_ms", "kind", "description", "n", "moment_id"], m.MomentDedup, "moment_id string, a_ms long, b_ms long, kind string"),
     "fold_live_novelty": lambda s, d: rounded(_fold(vectors(s, d), "stream", ["pts_ms"], ["pts_ms", "vec_id", "embedding"], m.LiveNovelty, "vec_id long, pts_ms long, novelty double, outcome string"), "novelty"),
