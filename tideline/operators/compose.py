@@ -67,18 +67,22 @@ def frame_metadata(rows: DataFrame, segment_ms: int = 250) -> DataFrame:
 
 def decoded_signals(events: DataFrame, strict: bool = False) -> DataFrame:
     """The signals of each run's latest ``frames_decoded`` event, one row each. A hash is an unsigned number in the JSON and the
-    same 64 bits, signed, here. An unreadable signal, or a score beyond [0, 1], is left out, or raises if ``strict``."""
+    same 64 bits, signed, here. An unreadable signal, or a score beyond [0, 1], is left out, or raises if ``strict``. An event of
+    more than ``MOST_SIGNALS`` is not taken apart: its run gives one row with nothing but ``run_id``, or raises if ``strict``."""
     last = events.where("kind = 'frames_decoded'").groupBy("run_id").agg(F.max_by("payload", "seq").alias("payload"))
     schema = "struct<signals: array<struct<frame_index: bigint, pts_ms: bigint, perceptual_hash: string, luma_mean: double, flicker_score: double, ghosting_score: double, noise_variance_score: double>>>"
-    rows = last.select("run_id", F.from_json("payload", schema, {"allowNonNumericNumbers": "false"}).alias("p")).where(F.size("p.signals") <= MOST_SIGNALS)
-    rows = rows.select("run_id", F.posexplode("p.signals").alias("position", "s")).select("run_id", "position", "s.*")
+    rows = last.select("run_id", F.from_json("payload", schema, {"allowNonNumericNumbers": "false"})["signals"].alias("p"))
+    rows = rows.withColumn("over", F.coalesce(F.size("p") > MOST_SIGNALS, F.lit(False)))
+    rows = rows.withColumn("p", F.when(F.col("over"), F.array(F.lit(None).cast(rows.schema["p"].dataType.elementType))).otherwise(F.col("p")))
+    rows = rows.select("run_id", "over", F.posexplode("p").alias("position", "s")).select("run_id", "over", "position", "s.*")
     rows = rows.withColumn("perceptual_hash", F.conv("perceptual_hash", 10, -10).cast("long"))
     ok = F.lit(True)
     for c in ("frame_index", "pts_ms", "perceptual_hash"):
         ok = ok & F.col(c).isNotNull()
     for c in SCORES:
         ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(False))
-    rows = rows.withColumn("frame_index", F.when(ok, F.col("frame_index")).otherwise(F.raise_error(F.lit("a decoded signal is not valid")))) if strict else rows.where(ok)
+    said = F.when(F.col("over"), f"a decoded event holds more than {MOST_SIGNALS} signals").otherwise("a decoded signal is not valid")
+    rows = rows.withColumn("frame_index", F.when(ok, F.col("frame_index")).otherwise(F.raise_error(said))) if strict else rows.where(ok | F.col("over"))
     return rows.select("run_id", "frame_index", "pts_ms", "perceptual_hash", *[F.col(c).cast("float").alias(c) for c in SCORES])
 
 

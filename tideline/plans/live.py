@@ -23,6 +23,9 @@ from tideline.runtime import table
 from tideline.sources import wal
 
 
+SIGNALS = 4096  # frame indexes of one decoded event
+
+
 def live(s: SparkSession, d: str) -> DataFrame:
     rows = fr.frames(s, d).withColumn("encodes", F.col("frame_index") % 50 != 0)
     machine = partial(lv.Live, zone=m.ZoneConfig(0.1, 0.03), program=tr.compile_source(fr.PROGRAM))
@@ -40,11 +43,12 @@ def metadata(s: SparkSession, d: str) -> DataFrame:
 
 
 def decoded(s: SparkSession, d: str) -> DataFrame:
-    """Each stream's frames as one decoded event, taken apart again."""
+    """Each stream's frames as decoded events of a bounded stretch each, taken apart again. A stretch counts as a run of its own."""
     one = F.struct("frame_index", "pts_ms", F.when(F.col("perceptual_hash") >= 0, F.col("perceptual_hash").cast("decimal(20,0)")).otherwise(F.col("perceptual_hash").cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).alias("perceptual_hash"), *fr.SCORES)
     body = F.to_json(F.struct(F.collect_list(one).alias("signals")))
-    events = fr.frames(s, d).groupBy(F.col("stream_id").alias("run_id")).agg(body.alias("payload")).select(F.lit(1).cast("long").alias("seq"), "run_id", F.lit("frames_decoded").alias("kind"), "payload")
-    return fr.rounded(co.decoded_signals(events), *fr.SCORES)
+    stretch = F.struct("stream_id", F.floor(F.col("frame_index") / SIGNALS).alias("stretch"))
+    events = fr.frames(s, d).groupBy(stretch.alias("run_id")).agg(body.alias("payload")).select(F.lit(1).cast("long").alias("seq"), "run_id", F.lit("frames_decoded").alias("kind"), "payload")
+    return fr.rounded(co.decoded_signals(events).withColumn("run_id", F.col("run_id.stream_id")), *fr.SCORES)
 
 
 def admission(s: SparkSession, d: str) -> DataFrame:
