@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tideline.llm import near
 
@@ -161,3 +162,13 @@ def test_banding_keeps_its_recall_at_any_size():
         r, b = near.banding(n, 0.5)
         p = 0.5**r
         assert 1 - (1 - p) ** b - b * p * (1 - p) ** (b - 1) > 0.994
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_runs_of_equal_32_bit_hash_are_different_runs(spark, most):
+    same = spark.range(200_000).selectExpr("concat('run-', id) AS r").groupBy(F.hash("r").bitwiseOR(F.lit(1)).alias("x")).agg(F.collect_list("r").alias("r")).where("size(r) > 1").first().r[:2]
+    t = " ".join(f"w{k}" for k in range(20))
+    e = events(spark, [(1, same[0], t), (2, same[1], t + " x"), (3, same[0], t + " y")])
+    links, members = near.text_links(e, "id", "run_id", "description", most=most)
+    node = {r.node: r.id for r in members.collect()}
+    assert {tuple(sorted((node[r.a], node[r.b]))) for r in links.collect()} == {(1, 2), (2, 3)}

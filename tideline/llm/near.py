@@ -213,7 +213,7 @@ def _sign(groups: int, rows: int, bands: int, hot: dict[int, int], most: int):
     return sign
 
 
-MET = "a long, b long, key long, run int, n int"
+MET = "a long, b long, key long, run long, n int"
 
 
 def _meet(most: int, hot: dict[int, int]):
@@ -237,7 +237,7 @@ def _meet(most: int, hot: dict[int, int]):
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             k += 1
         a, b = np.concatenate(found, axis=1)
-        pairs = pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "key": np.int64(0), "run": np.int32(0), "n": np.int32(0)})
+        pairs = pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "key": np.int64(0), "run": np.int64(0), "n": np.int32(0)})
         over = pd.DataFrame({"a": nid, "b": pd.array([pd.NA] * len(nid), "Int64"), "key": key, "run": run, "n": number.astype(np.int32)})[crowded]
         return pd.concat([pairs, over])
 
@@ -261,7 +261,7 @@ def _candidates(nodes: DataFrame, count: int, similarity: float, most: int) -> D
     """(a, b) of nodes that agree in at least ``AGREE`` bands."""
     rows, bands = banding(count, similarity)
     groups = groups_for(nodes.sparkSession, count * bands, ROWS_PER_GROUP)
-    data, schema = nodes.select("nid", "run", "shingles"), "g int, key long, nid long, run int"
+    data, schema = nodes.select("nid", "run", "shingles"), "g int, key long, nid long, run long"
     # Which keys are crowded, from about SAMPLE nodes. It only decides where rows go: a key that many nodes share must not
     # come to one task. A key found here or not gives the same pairs.
     every = max(1, count // SAMPLE)
@@ -288,7 +288,7 @@ def text_links(records: DataFrame, id_col: str, group_col: str, text_col: str, s
     members = written(rows.select("id", "g", "node").distinct())
     nodes = rows.groupBy("node").agg(F.first("words").alias("words"), F.min("g").alias("g1"), F.max("g").alias("g2"))
     # A node that occurs in one group only carries that group, so candidates within it are left out early; 0 for several.
-    run = F.when(F.col("g1") == F.col("g2"), F.hash("g1").bitwiseOR(F.lit(1))).otherwise(F.lit(0))
+    run = F.when(F.col("g1") == F.col("g2"), F.xxhash64("g1").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", run.alias("run"), "words"))
     spread = nodes.repartition(groups_for(nodes.sparkSession, 0, 1))
     near = written(_candidates(spread.select("nid", "run", _shingles(F.split("words", " "), shingle).alias("shingles")), nodes.count(), similarity, most))
