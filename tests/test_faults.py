@@ -129,3 +129,21 @@ def test_spikes_of_a_resting_stream_beside_what_scatters_ordinarily(spark):
     for k in at:
         v[k] = 0.8
     assert found(made(spark, {"a": v})) == {(k, "spike") for k in at}
+
+
+def test_a_long_stream_is_judged_by_its_own_scale_wherever_it_is_cut(spark):
+    rng = np.random.default_rng(11)
+    v = [float(x) for x in np.r_[0.5 + 0.002 * rng.standard_normal(6000), 0.5 + 0.02 * rng.standard_normal(6000)]]
+    v[500], v[9000] = 0.55, 0.95
+    df = made(spark, {"a": v})
+    whole = found(df, chunk=10**9)
+    assert found(df) == whole and (9000, "spike") in whole and (500, "spike") not in whole
+
+
+def test_rest_is_the_whole_streams(spark):
+    v = noise(3000)
+    for k in range(3000):  # resting in 45 % of the first half, in 70 % of the second
+        if k % 20 < (9 if k < 1500 else 14):
+            v[k] = 0.4
+    df = made(spark, {"a": v})
+    assert found(df, chunk=512, halo=64) == found(df, chunk=10**9)

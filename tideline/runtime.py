@@ -51,5 +51,10 @@ def groups_for(spark: SparkSession, rows: int, per_group: int) -> int:
     return max(slots(spark), math.ceil(rows / per_group))
 
 
+def spread_groups(spark: SparkSession, rows: int, per_group: int) -> int:
+    """Groups for ``repartitionById``, one to a task: about ``per_group`` rows each, and no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / per_group))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
