@@ -47,9 +47,9 @@ def test_rate_chunks_and_budget():
 
 
 def test_speech_transcripts_and_moments():
-    assert run(m.SpeechRanges(100_000), [(0, 300, 0.5), (1200, 1500, 0.9), (1600, 1700, 1.0), (9000, 9500, 0.1)]) == [(0, 1800, 0.9), (8700, 9800, 0.1)]
+    assert run(m.speech_pieces(100_000), [(0, 300, 0.5), (1200, 1500, 0.9), (1600, 1700, 1.0), (9000, 9500, 0.1)]) == [(0, 1800, 0.9), (8700, 9800, 0.1)]
     pieces = [(0, 100, "we go"), (200, 300, ", now."), (400, 500, "Next"), (5000, 5100, "late"), (5200, 5300, " ")]
-    assert run(m.Transcript(), pieces) == [(0, 300, "we go, now."), (400, 500, "Next"), (5000, 5100, "late")]
+    assert run(m.transcript_pieces(), pieces) == [(0, 300, "we go, now."), (400, 500, "Next"), (5000, 5100, "late")]
     moments = [(0, 100, "speech", "a", 1, "x"), (50, 90, "speech", "b", 2, "y"), (60, 200, "music", "a", 1, "z"), (300, 400, "music", "b", 1, "u"), (900, 1000, "music", "a", 1, "v")]
     assert sorted(k[0] for k in run(m.MomentDedup(), moments)) == ["u", "v", "y", "z"]
 

@@ -6,6 +6,7 @@ import math
 from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 
@@ -178,49 +179,68 @@ class TokenBudget(Machine):
         return [(key, pts, allowed, self.used)]
 
 
-class SpeechRanges(Machine):
-    """Joins speech ranges with short holes up to a longest span, and widens them. Row: (start, end, confidence), by start."""
+# Marks that end a sentence, and those that no blank goes before.
+ENDING, CLOSING = ".?!", ",.?!;:'-"
 
-    def __init__(self, duration: int, least: int = 250, gap: int = 1000, span: int = 20_000, pad: int = 300) -> None:
-        self.duration, self.least, self.gap, self.span, self.pad, self.open = duration, least, gap, span, pad, None
 
-    def _out(self) -> list[tuple]:
-        a, b, c = self.open
-        return [(max(0, a - self.pad), min(self.duration, b + self.pad), c)]
+class Pieces(Machine):
+    """Groups of timed pieces, one at a time: a piece goes on with the group while the hole before it is at most ``gap``, the
+    group stays within ``span``, and the last piece does not close it. ``read`` makes a piece (start, end, value) of a row, or
+    None; ``close`` says whether a value ends its group; ``whole`` makes a group's output."""
+
+    def __init__(self, gap: int, span: int, read, whole, close=None) -> None:
+        self.gap, self.span, self.read, self.whole, self.close, self.group = gap, span, read, whole, close, []
+
+    def _goes_on(self, piece: tuple) -> bool:
+        last = self.group[-1]
+        hole, length = piece[0] - last[1], piece[1] - self.group[0][0]
+        return hole <= self.gap and length <= self.span and not (self.close and self.close(last[2]))
 
     def __call__(self, row: tuple) -> Iterable[tuple]:
-        start = max(0, min(row[0], self.duration))
-        end = max(start, min(row[1], self.duration))
-        if end - start < self.least:
+        piece = self.read(row)
+        if piece is None:
             return ()
-        if self.open and start - self.open[1] <= self.gap and end - self.open[0] <= self.span:
-            self.open = (self.open[0], end, max(self.open[2], row[2]))
+        if self.group and self._goes_on(piece):
+            self.group.append(piece)
             return ()
-        out, self.open = (self._out() if self.open else ()), (start, end, row[2])
+        out, self.group = self.finish(), [piece]
         return out
 
     def finish(self) -> Iterable[tuple]:
-        return self._out() if self.open else ()
+        return [self.whole(self.group)] if self.group else ()
 
 
-class Transcript(Machine):
-    """Joins transcript pieces up to the end of a sentence. Row: (start, end, text), by start."""
+def _clipped(duration: int, least: int, row: tuple) -> tuple | None:
+    a, b = (min(max(x, 0), duration) for x in row[:2])
+    return (a, b, row[2]) if b - a >= least else None
 
-    def __init__(self, gap: int = 750, span: int = 8000) -> None:
-        self.gap, self.span, self.open = gap, span, None
 
-    def __call__(self, row: tuple) -> Iterable[tuple]:
-        start, end, text = row[0], row[1], " ".join((row[2] or "").split())
-        if not text or end <= start:
-            return ()
-        if self.open and start - self.open[1] <= self.gap and end - self.open[0] <= self.span and self.open[2][-1] not in ".?!":
-            self.open = (self.open[0], end, self.open[2] + ("" if text[0] in ",.?!;:-'" else " ") + text)
-            return ()
-        out, self.open = ([self.open] if self.open else ()), (start, end, text)
-        return out
+def _widened(duration: int, pad: int, group: list[tuple]) -> tuple:
+    return max(group[0][0] - pad, 0), min(group[-1][1] + pad, duration), max(p[2] for p in group)
 
-    def finish(self) -> Iterable[tuple]:
-        return [self.open] if self.open else ()
+
+def speech_pieces(duration: int, least: int = 250, gap: int = 1000, span: int = 20_000, pad: int = 300) -> Pieces:
+    """Ranges of speech joined over short holes and widened. Row: (start, end, confidence), by start."""
+    return Pieces(gap, span, partial(_clipped, duration, least), partial(_widened, duration, pad))
+
+
+def _said(row: tuple) -> tuple | None:
+    text = " ".join((row[2] or "").split())
+    return (row[0], row[1], text) if text and row[1] > row[0] else None
+
+
+def _spoken(group: list[tuple]) -> tuple:
+    text = "".join(t if k == 0 or t[0] in CLOSING else f" {t}" for k, (_, _, t) in enumerate(group))
+    return group[0][0], group[-1][1], text
+
+
+def _ends(text: str) -> bool:
+    return text[-1] in ENDING
+
+
+def transcript_pieces(gap: int = 750, span: int = 8000) -> Pieces:
+    """Transcript pieces joined up to the end of a sentence. Row: (start, end, text), by start."""
+    return Pieces(gap, span, _said, _spoken, _ends)
 
 
 class MomentDedup(Machine):

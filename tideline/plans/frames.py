@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import hashes
 from tideline.operators import machines as m
 from tideline.operators import moments as mo
+from tideline.operators import segments as sg
 from tideline.operators import trigger as tr
 from tideline.operators import windows as w
 from tideline.operators.chunks import over_chunks
@@ -61,7 +62,7 @@ def scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def gate(s: SparkSession, d: str) -> DataFrame:
-    return fold(frames(s, d), ["stream_id"], ["frame_index"], m.GATE_COLUMNS, m.Gate, m.GATE_SCHEMA)
+    return sg.gate_decisions(frames(s, d))
 
 
 def kept(s: SparkSession, d: str) -> DataFrame:
@@ -138,7 +139,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def budget(s: SparkSession, d: str) -> DataFrame:
-    return _fold(agents(s, d), "session_id", ["pts_ms", "id"], ["pts_ms", "id", "description"], partial(m.TokenBudget, 20), "id long, pts_ms long, allowed boolean, used long")
+    return sg.token_budget(agents(s, d), 20, "session_id", "pts_ms", "id", "description")
 
 
 QUERIES = {
@@ -162,12 +163,12 @@ QUERIES = {
     "fr_collapsed": lambda s, d: w.collapsed(agents(s, d), "session_id", "description", ("pts_ms", "id")),
     "fold_gate": lambda s, d: rounded(gate(s, d).select("stream_id", "frame_index", "event_type", "reason", "confidence"), "confidence"),
     "fold_zone": lambda s, d: rounded(_fold(w.motion(frames(s, d)), "stream_id", ["frame_index"], ["pts_ms", "motion"], partial(m.Zone, m.ZoneConfig(0.1, 0.03)), m.ZONE_SCHEMA), "motion_score"),
-    "fold_rate": lambda s, d: _fold(frames(s, d), "stream_id", ["frame_index"], ["pts_ms", "frame_id"], partial(m.RateGate, 2), "pts_ms long, frame_id long"),
-    "fold_time_chunks": lambda s, d: _fold(frames(s, d), "stream_id", ["frame_index"], ["pts_ms", "frame_id"], partial(m.TimeChunks, 5000), "frame_id long, pts_ms long, chunk long, chunk_start_ms long"),
+    "fold_rate": lambda s, d: sg.rate_limited(frames(s, d), 2, "stream_id", "pts_ms", "frame_id"),
+    "fold_time_chunks": lambda s, d: sg.time_chunks(frames(s, d), 5000, "stream_id", "pts_ms", "frame_id"),
     "fold_clips": lambda s, d: _fold(frames(s, d), "stream_id", ["frame_index"], ["pts_ms", "frame_index"], m.Clips, m.CLIP_SCHEMA),
     "fold_token_budget": budget,
-    "fold_speech_ranges": lambda s, d: rounded(_fold(observations(s, d).where("kind = 'speech'"), "stream_id", ["start_ms", "end_ms", "confidence"], ["start_ms", "end_ms", "confidence"], partial(m.SpeechRanges, NO_END), "a_ms long, b_ms long, confidence double"), "confidence"),
-    "fold_transcript": lambda s, d: _fold(observations(s, d).where("kind = 'speech'"), "stream_id", ["start_ms", "end_ms", "transcript"], ["start_ms", "end_ms", "transcript"], m.Transcript, "a_ms long, b_ms long, text string"),
+    "fold_speech_ranges": lambda s, d: rounded(sg.speech_ranges(observations(s, d).where("kind = 'speech'"), NO_END), "confidence"),
+    "fold_transcript": lambda s, d: sg.transcripts(observations(s, d).where("kind = 'speech'")),
     "fold_moment_dedup": lambda s, d: _fold(moments(s, d).withColumn("n", F.size("modalities")), "stream_id", ["start_ms", "end_ms", "kind", "moment_id"], ["start_ms", "end_ms", "kind", "description", "n", "moment_id"], m.MomentDedup, "moment_id string, a_ms long, b_ms long, kind string"),
     "fold_live_novelty": lambda s, d: rounded(_fold(vectors(s, d), "stream", ["pts_ms"], ["pts_ms", "vec_id", "embedding"], m.LiveNovelty, "vec_id long, pts_ms long, novelty double, outcome string"), "novelty"),
     "fold_novelty": lambda s, d: rounded(novelty(s, d), "n_text", "n_embed", "n_hash", "fused"),
