@@ -129,8 +129,8 @@ def test_nothing(spark):
     assert rows(near.classes(frames(spark, []), events(spark, []))) == []
 
 
-@pytest.mark.parametrize("shape", ["line", "star", "random"])
-def test_components(spark, shape):
+@pytest.mark.parametrize("shape,hub", [("line", 10**6), ("star", 10**6), ("star", 7), ("random", 3)])
+def test_components(spark, shape, hub):
     rng = random.Random(6)
     edges = {"line": [(k, k + 1) for k in range(60)], "star": [(0, k) for k in range(1, 80)] + [(500, 501)], "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]}[shape]
     root = {}
@@ -145,16 +145,34 @@ def test_components(spark, shape):
         if a != b:
             x, y = sorted((top(a), top(b)))
             root[y] = x
-    got = dict(tuple(r) for r in near.components(spark.createDataFrame([*edges, edges[0], (3, 3)], "a long, b long")).collect())
+    got = dict(tuple(r) for r in near.components(spark.createDataFrame([*edges, edges[0], (3, 3)], "a long, b long"), hub).collect())
     assert got == {k: top(k) for k in root}
 
 
 def test_classes_are_components(spark):
-    f = [(1, "a", 0), (2, "b", 0b111), (3, "c", 0b111111000), (4, "d", -1)]
+    f = [(1, "a", 0), (2, "b", 0b111), (3, "c", 0b111111000), (4, "d", -1), (9, "d", None)]
     t = " ".join(f"w{k}" for k in range(20))
-    e = [(5, "r", t), (6, "q", t), (7, "q", t + " x"), (8, "p", "alone " * 20)]
+    e = [(5, "r", t), (6, "q", t), (7, "q", t + " x"), (8, "p", "alone " * 20), (10, "p", None), (11, None, t)]
     got = rows(near.classes(frames(spark, f), events(spark, e)))
-    assert [r[:3] for r in got] == [("event", 5, 5), ("event", 6, 5), ("event", 7, 5), ("frame", 1, 1), ("frame", 2, 1), ("frame", 3, 1)] or {r[:3] for r in got} >= {("frame", 1, 1), ("frame", 2, 1)}
+    assert got == sorted([("frame", 1, 1, 2), ("frame", 2, 1, 1), ("frame", 3, 1, 1), ("frame", 4, 4, 0), ("frame", 9, 9, 0), ("event", 5, 5, 1), ("event", 6, 5, 1), ("event", 7, 5, 1), ("event", 8, 8, 0), ("event", 10, 10, 0), ("event", 11, 11, 0)], key=str)
+
+
+def test_recall_beyond_the_number_of_nodes_that_changes_the_bands(spark, monkeypatch):
+    rng, data = random.Random(12), []
+    for k in range(150):
+        base = long_text(rng, 40)
+        for c in range(2):
+            t = list(base)
+            for at in rng.sample(range(40), 4 if c else 0):
+                t[at] = f"edit{k}{at}"
+            data.append((2 * k + c, f"run{c}", " ".join(t)))
+    want = brute(data)
+    assert len(want) > 60 and near.banding(300, 0.5)[0] == 3
+    monkeypatch.setattr(near, "NODES_PER_KEY", 30)
+    assert near.banding(300, 0.5)[0] == 5
+    got = rows(near.text_pairs(events(spark, data), "id", "run_id", "description"))
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert set(got) <= set(rows(near.text_pairs(events(spark, data), "id", "run_id", "description", agree=1)))
 
 
 def test_banding_keeps_its_recall_at_any_size():

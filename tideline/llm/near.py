@@ -3,8 +3,8 @@
 Texts. The set of ``SHINGLE`` consecutive words of each distinct word sequence is hashed under many universal
 functions; a few minima make a band key. The signatures verify a candidate by ``AGREE`` equal bands at least (at a
 similarity of 0.5 a pair has 7.5 of them on average and fewer than 2 with a probability of 0.3 %; templates that are 0.08
-alike have 2 in one of 3000 pairs), its shingle sets then exactly. Equal word sequences are one node, so copies never meet
-each other in a band. A key that many nodes share is paired in blocks, in as many tasks as it has pairs of blocks.
+alike have 2 in one of 3000 pairs; ``agree=1`` asks for one only), its shingle sets then exactly. Equal word sequences are one
+node, so copies never meet each other in a band. A key that many nodes share is paired in blocks, in as many tasks as it has pairs of blocks.
 
 Frame hashes. A 64-bit hash is the set of its (block, value) pairs over ``d + r`` blocks; two hashes within ``d`` bits share
 at least ``r`` of them. Randomly drawn minima reach full recall at 6 of 64 bits only with some 50 bands, far more data than
@@ -25,11 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.runtime import groups_for, written
+from tideline.runtime import spread_groups, written
 
 SHINGLE, AGREE, AGREEING_BANDS, LEAST_WORDS = 3, 2, 7.5, 15
 NODES_PER_KEY, SAMPLE = 500_000, 5_000
 ROWS_PER_GROUP, CROWDED, OCCUPANCY = 250_000, 2_000_000, 64
+HUB = 1_000_000
 
 
 # ---- frame hashes -------------------------------------------------------------------------------------------------
@@ -112,7 +113,7 @@ def hash_pairs(hashes: DataFrame, bits: int = 6, crowded: int = CROWDED) -> Data
     second = F.lit(0).cast("long")
     for b in range(1, m):
         second = F.when(F.col("j") == b, value(b)).otherwise(second) if full else second
-    groups = groups_for(spark, n * (bits + 1), ROWS_PER_GROUP)
+    groups = spread_groups(spark, n * (bits + 1), ROWS_PER_GROUP)
     copies = copies.select("h", "s", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"), F.pmod(F.xxhash64("i", "v", "j", second), F.lit(groups)).cast("int").alias("g"))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,12 +123,24 @@ def hash_pairs(hashes: DataFrame, bits: int = 6, crowded: int = CROWDED) -> Data
         hh = h.view(np.int64)
         return pd.DataFrame({"ha": hh[a], "sa": s[a], "hb": hh[b], "sb": s[b]})
 
-    return copies.groupBy("g").applyInPandas(pairs, "ha long, sa long, hb long, sb long")
+    return copies.repartitionById(groups, "g").groupBy("g").applyInPandas(pairs, "ha long, sa long, hb long, sb long")
+
+
+def numbered(rows: DataFrame, name: str) -> Column:
+    """A 64-bit number of each different value of ``name``, odd, no two alike: a hash under the first seed that parts all values
+    there are. One pass over values that are first made distinct where they are read."""
+    values, seed = rows.select(name).distinct(), 0
+    while True:
+        number = F.xxhash64(F.lit(seed), name).bitwiseOR(F.lit(1).cast("long"))
+        all_, different = values.agg(F.count(name), F.count_distinct(F.when(F.col(name).isNotNull(), number))).first()
+        if all_ == different:
+            return number
+        seed += 1
 
 
 def _frames(frames: DataFrame) -> DataFrame:
     rows = frames.select("frame_id", F.col("perceptual_hash").alias("h"), "stream_id").where("frame_id is not null and perceptual_hash is not null and stream_id is not null")
-    return rows.withColumn("s", F.xxhash64("stream_id"))
+    return rows.withColumn("s", numbered(rows, "stream_id"))
 
 
 def frame_links(frames: DataFrame, bits: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -257,10 +270,10 @@ def _meet_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _candidates(nodes: DataFrame, count: int, similarity: float, most: int) -> DataFrame:
-    """(a, b) of nodes that agree in at least ``AGREE`` bands."""
+def _candidates(nodes: DataFrame, count: int, similarity: float, most: int, agree: int) -> DataFrame:
+    """(a, b) of nodes that agree in at least ``agree`` bands."""
     rows, bands = banding(count, similarity)
-    groups = groups_for(nodes.sparkSession, count * bands, ROWS_PER_GROUP)
+    groups = spread_groups(nodes.sparkSession, count * bands, ROWS_PER_GROUP)
     data, schema = nodes.select("nid", "run", "shingles"), "g int, key long, nid long, run long"
     # Which keys are crowded, from about SAMPLE nodes. It only decides where rows go: a key that many nodes share must not
     # come to one task. A key found here or not gives the same pairs.
@@ -268,41 +281,41 @@ def _candidates(nodes: DataFrame, count: int, similarity: float, most: int) -> D
     seen = data.where(F.pmod(F.xxhash64("nid"), F.lit(every)) == 0).mapInPandas(_sign(groups, rows, bands, {}, most), schema)
     hot = {r[0]: min(r[1] * every, (1 << 31) - 1) for r in seen.groupBy("key").count().where(F.col("count") > max(8, most / every)).toLocalIterator()}
     keys = data.mapInPandas(_sign(groups, rows, bands, hot, most), schema)
-    met = written(keys.groupBy("g").applyInPandas(_meet(most, hot), MET))
+    met = written(keys.repartitionById(groups, "g").groupBy("g").applyInPandas(_meet(most, hot), MET))
     blocks = F.ceil(F.col("n") / most).cast("int")
     over = met.where("b is null").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     over = over.select("a", "key", "run", "block", F.explode(tasks).alias("t")).select("a", "key", "run", "block", "t.i", "t.j")
     more = over.groupBy("key", "i", "j").applyInPandas(_meet_blocks, "a long, b long")
     both = met.where("b is not null").select("a", "b").unionByName(more)
-    return both.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
 
 
-def text_links(records: DataFrame, id_col: str, group_col: str, text_col: str, similarity: float = 0.5, least_words: int = LEAST_WORDS, shingle: int = SHINGLE, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+def text_links(records: DataFrame, id_col: str, group_col: str, text_col: str, similarity: float = 0.5, least_words: int = LEAST_WORDS, shingle: int = SHINGLE, most: int = 4096, agree: int = AGREE) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between different word sequences of Jaccard similarity at least ``similarity`` that occur in different
-    groups, and members (id, g, node), both written. Each sequence is one node however often it occurs. Records without id,
-    group or text, or with fewer than ``least_words`` words, are left out. Other columns are ignored."""
+    groups, and members (id, g, node), both written. Each sequence is one node however often it occurs; a node is a number of this
+    result. Sequences are told apart by 128 bits. Records without id, group or text, or with fewer than ``least_words`` words,
+    are left out. Other columns are ignored."""
     rows = records.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), _words(F.col(text_col)).alias("w"))
     rows = rows.where(F.col("id").isNotNull() & F.col("g").isNotNull() & (F.size("w") >= max(least_words, shingle)))
-    rows = rows.select("id", "g", F.xxhash64("w").alias("node"), F.array_join("w", " ").alias("words"))
-    members = written(rows.select("id", "g", "node").distinct())
-    nodes = rows.groupBy("node").agg(F.first("words").alias("words"), F.min("g").alias("g1"), F.max("g").alias("g2"))
+    rows = rows.select("id", "g", F.array_join("w", " ").alias("words")).withColumn("of", F.unhex(F.md5("words")))
     # A node that occurs in one group only carries that group, so candidates within it are left out early; 0 for several.
-    run = F.when(F.col("g1") == F.col("g2"), F.xxhash64("g1").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "node", run.alias("run"), "words"))
-    spread = nodes.repartition(groups_for(nodes.sparkSession, 0, 1))
-    near = written(_candidates(spread.select("nid", "run", _shingles(F.split("words", " "), shingle).alias("shingles")), nodes.count(), similarity, most))
-    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("node").alias(f"n{x}"), F.col("words").alias(f"w{x}"))
-    met = near.join(side("a"), "a").join(side("b"), "b").select("na", "nb", *[_shingles(F.split(w, " "), shingle).alias(w) for w in ("wa", "wb")])
+    nodes = rows.withColumn("run", numbered(rows, "g")).groupBy("of").agg(F.first("words").alias("words"), F.min("run").alias("r1"), F.max("run").alias("r2"))
+    run = F.when(F.col("r1") == F.col("r2"), F.col("r1")).otherwise(F.lit(0).cast("long"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "of", run.alias("run"), _shingles(F.split("words", " "), shingle).alias("shingles")))
+    members = written(rows.select("id", "g", "of").distinct().join(nodes.select("of", F.col("nid").alias("node")), "of").drop("of"))
+    spread = nodes.select("nid", "run", "shingles").repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism)
+    near = written(_candidates(spread, nodes.count(), similarity, most, agree))
+    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("shingles").alias(f"w{x}"))
     both = F.size(F.array_intersect("wa", "wb"))
-    met = met.select(F.col("na").alias("a"), F.col("nb").alias("b"), both.alias("both"), (F.size("wa") + F.size("wb")).alias("sizes"))
+    met = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.size("wa") + F.size("wb")).alias("sizes"))
     links = written(met.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b"))
     return links, members
 
 
-def text_pairs(records: DataFrame, id_col: str, group_col: str, text_col: str, similarity: float = 0.5, least_words: int = LEAST_WORDS) -> DataFrame:
+def text_pairs(records: DataFrame, id_col: str, group_col: str, text_col: str, similarity: float = 0.5, least_words: int = LEAST_WORDS, agree: int = AGREE) -> DataFrame:
     """(id_a, id_b): records of different groups whose shingle sets are alike enough; copies included."""
-    links, members = text_links(records, id_col, group_col, text_col, similarity, least_words)
+    links, members = text_links(records, id_col, group_col, text_col, similarity, least_words, agree=agree)
     both = links.unionByName(members.groupBy("node").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select(F.col("node").alias("a"), F.col("node").alias("b")))
     a = members.select(F.col("node").alias("a"), F.col("id").alias("x"), F.col("g").alias("gx"))
     b = members.select(F.col("node").alias("b"), F.col("id").alias("y"), F.col("g").alias("gy"))
@@ -313,12 +326,13 @@ def text_pairs(records: DataFrame, id_col: str, group_col: str, text_col: str, s
 # ---- connected components -----------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, salt: int = 16) -> DataFrame:
+def components(links: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) of undirected links (a long, b long): component is the smallest node reachable.
 
     Alternating large-star and small-star. Each star needs only the smallest neighbour of a node, a pre-aggregated minimum,
-    then one join back; no neighbourhood is collected. A star's hub may hold most links: the join on it is salted.
-    Nodes without links are not in the result. Loops and repeated links do not matter; null ends are left out.
+    then one join back; no neighbourhood is collected. Nodes of more than ``hub`` links, of which there are few, are spread over
+    as many tasks as they have times that. Nodes without links are not in the result. Loops and repeated links do not matter;
+    null ends are left out.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     mark = None
@@ -326,13 +340,18 @@ def components(links: DataFrame, salt: int = 16) -> DataFrame:
         for large in (True, False):
             # large: all neighbours of u, keep those above u; small: neighbours below u, and u itself.
             ways = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-            least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            least = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("z"))
-            met = ways.withColumn("z", F.pmod(F.xxhash64("v"), F.lit(salt)).cast("int")).join(least, ["u", "z"])
+            least = written(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.ceil(F.count("*") / hub).cast("int").alias("parts")))
+            if (least.agg(F.max("parts")).first()[0] or 0) > 1:
+                hubs = written(least.where("parts > 1").select("u", "parts"))  # at most links / hub rows; broadcast by measured size
+                z = F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")
+                met = ways.join(hubs, "u", "left").select("u", "v", z.alias("z"))
+                met = met.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("z")), ["u", "z"])
+            else:
+                met = ways.join(least, "u")
             if large:
                 new = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:
-                new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("z = 0").select("u", F.col("m").alias("v")))
+                new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
             edges = written(new.where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
@@ -349,23 +368,26 @@ def found(frames: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def classes(frames: DataFrame, events: DataFrame) -> DataFrame:
-    """record_kind, id, class_id, links: one row per record that has a near-duplicate; the class is the smallest record id
-    of its connected component, links the number of different hashes or texts its own is linked with."""
-    links, members = frame_links(frames)
-    rows = members.select(F.xxhash64("h", "s").alias("node"), F.col("frame_id").alias("id"))
-    f = links.select(F.xxhash64("ha", "sa").alias("a"), F.xxhash64("hb", "sb").alias("b"))
+    """record_kind, id, class_id, links: one row per record; the class is the smallest record id of its connected component,
+    links the number of different hashes or texts its own is linked with. A record that is like no other, or cannot be compared
+    (no hash, too few words), is a class of its own. Records without id are left out."""
+    pairs, rows = frame_links(frames)
+    node = written(rows.select("h", "s").distinct().withColumn("node", F.monotonically_increasing_id()))
+    end = lambda x: node.select(F.col("h").alias(f"h{x}"), F.col("s").alias(f"s{x}"), F.col("node").alias(x))
+    f = written(pairs.join(end("a"), ["ha", "sa"]).join(end("b"), ["hb", "sb"]).select("a", "b"))
+    rows = rows.join(node, ["h", "s"]).select("node", F.col("frame_id").alias("id"))
     tl, tm = text_links(events, "id", "run_id", "description")
     same = tm.groupBy("node").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("node")
     out = None
-    for kind, edge, member, alone in (("frame", f, rows, None), ("event", tl, tm.select("node", "id"), same)):
-        edge = written(edge)
+    for kind, edge, member, alone, every in (("frame", f, rows, None, frames.select(F.col("frame_id").alias("id"))), ("event", tl, tm.select("node", "id"), same, events.select("id"))):
         part = components(edge)
         if alone is not None:
             part = part.union(alone.join(part, "node", "left_anti").select("node", F.col("node").alias("component")))
         degree = edge.select("a").union(edge.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-        part = part.join(degree, "node", "left")
-        whole = member.join(part, "node")
+        whole = member.join(part.join(degree, "node", "left"), "node")
         least = whole.groupBy("component").agg(F.min("id").alias("class_id"))
-        whole = whole.join(least, "component").select(F.lit(kind).alias("record_kind"), "id", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        whole = whole.join(least, "component").select("id", "class_id", "links")
+        whole = every.where("id is not null").distinct().join(whole, "id", "left")
+        whole = whole.select(F.lit(kind).alias("record_kind"), "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
         out = whole if out is None else out.unionByName(whole)
     return out
