@@ -56,3 +56,9 @@ def test_edges(spark):
 def test_counts_and_durations(spark):
     data = [(k, "s", 10 * k, "x", "a b") for k in range(5)] + [(9, "s", 100, "y", "a b")]
     assert rows(runs.collapse(made(spark, data))) == [("s", "x", 0, 4, 0, 40, 40, 5), ("s", "y", 9, 9, 100, 100, 0, 1)]
+
+
+def test_copies_that_differ_count_once(spark):
+    data = [(1, "s", 10, "x", "a b"), (2, "s", 20, "x", "a b"), (2, "s", 90, "x", "a b"), (3, "s", 30, "x", "a b"), (3, "s", 30, "x", "a b")]
+    got = rows(runs.collapse(made(spark, data)))
+    assert got in ([("s", "x", 1, 3, 10, 30, 20, 3)], [("s", "x", 1, 2, 10, 90, 80, 3)])

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.runtime import written
+
 CHUNK_MS = 1 << 18
 
 
@@ -32,21 +34,25 @@ def alike(a: Column, b: Column, tenths: int) -> Column:
 
 def _keyed(rows: DataFrame, part: list[str], order: str, continues: Column) -> DataFrame:
     """``rows`` with the run's number within ``part``. ``continues`` may look back with ``lag`` over the same window."""
-    w = Window.partitionBy(*part).orderBy(order)
-    rows = rows.withColumns({"_n": F.row_number().over(w), "_c": continues})
-    among = F.row_number().over(Window.partitionBy(*part, "_c").orderBy(order))
-    return rows.withColumn("_m", among).withColumn("run", F.when(F.col("_c"), F.col("_n") - F.col("_m")).otherwise(F.col("_m")))
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_c", continues)
+    # The row number among rows of the same value, without sorting by that value: how many of them came so far.
+    among = F.when(F.col("_c"), F.count_if("_c").over(w)).otherwise(F.count_if(~F.col("_c")).over(w))
+    rows = rows.withColumns({"_n": F.count("*").over(w), "_m": among})
+    return rows.withColumn("run", F.when(F.col("_c"), F.col("_n") - F.col("_m")).otherwise(F.col("_m")))
 
 
 def collapse(events: DataFrame, tenths: int = 7) -> DataFrame:
     """One row per run: session_id, event_type, first_id, last_id, start_ms, end_ms, duration_ms, events.
 
-    Single events are runs of one. Rows with the same ``id`` count once (the smallest row by value is kept, should copies
-    differ); rows without id, session or pts are left out. A null type equals a null type; a null description is like no
+    Single events are runs of one. Rows with the same ``id`` count once (should copies differ, always the same one is kept); rows without id, session or pts are left out. A null type equals a null type; a null description is like no
     other. Ties in ``pts_ms`` are broken by ``id``. Other columns are ignored.
     """
     rows = events.select("id", "session_id", "pts_ms", "event_type", "description").where("id is not null and session_id is not null and pts_ms is not null")
-    rows = rows.groupBy("id").agg(F.min(F.struct("session_id", "pts_ms", "event_type", "description")).alias("r")).select("id", "r.*")
+    # Equal copies come to lie next to each other below. Only ids whose copies differ are looked for by id, by hashes.
+    rows = rows.withColumn("h", F.xxhash64("session_id", "pts_ms", "event_type", "description"))
+    differ = written(rows.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("id", "lo"))
+    rows = rows.join(differ, "id", "left").where("lo is null or h = lo")
     at = F.struct("pts_ms", "id")
     rows = rows.select(
         "session_id", (F.floor(F.col("pts_ms") / CHUNK_MS)).alias("chunk"), at.alias("at"), F.struct(F.col("event_type").alias("t"), word_set(F.col("description")).alias("w")).alias("e")
@@ -57,6 +63,7 @@ def collapse(events: DataFrame, tenths: int = 7) -> DataFrame:
     def goes_on(last: Column, now: Column) -> Column:
         return F.coalesce(last.isNotNull() & last["t"].eqNullSafe(now["t"]) & alike(last["w"], now["w"], tenths), F.lit(False))
 
+    rows = rows.withColumn("copy", F.coalesce(F.lag("at").over(w) == F.col("at"), F.lit(False))).where("not copy").drop("copy")
     rows = rows.withColumn("last_in_chunk", F.lead("at").over(w).isNull())
     rows = _keyed(rows, part, "at", goes_on(F.lag("e").over(w), F.col("e")))
     pieces = rows.groupBy(*part, "run").agg(
