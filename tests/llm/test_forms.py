@@ -53,3 +53,16 @@ def test_classes_and_forms(spark):
     assert rows(forms.form_classes(made(spark, data))) == [(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2), (4, 4, 1, 1), (5, 5, 1, 1), (9, 9, 1, 1)]
     got = rows(forms.with_forms(made(spark, data)).select("doc_id", "normal_form"))
     assert got[3] == (4, None) and got[4] == (5, "")
+
+
+def test_look_alikes_are_confusable_in_unicodes_table(spark):
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    shape = lambda c: checker.getSkeleton(0, c)
+    other = {a for a, b in forms.LOOK_ALIKE.items() if shape(a) != shape(b) or a.isupper() != b.isupper()}
+    assert other == {"Ԛ", "ӏ"}  # two that look like Q and l all the same
+
+
+def test_copies_of_a_text_and_one_twin(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id = 77 THEN 'ѕame' ELSE 'same' END AS text")
+    pairs = forms.look_alikes(df)
+    assert pairs.count() == 19_999 and pairs.where("doc_id_a = 77 OR doc_id_b = 77").count() == 19_999

@@ -6,7 +6,7 @@ Two forms are built from the same steps, each once per distinct value of a batch
   default-ignorable characters removed. The form for matching.
 * ``appearance``: keeps all that a reader sees. Full-width, half-width and ligature forms are replaced, marks composed,
   spaces mapped, default-ignorable characters removed and look-alike letters of Greek and Cyrillic replaced by the Latin
-  letter. Letter case, line breaks, digits, superscripts and real accents stay.
+  letter, or of Cyrillic by the Greek one. Letter case, line breaks, digits, superscripts and real accents stay.
 
 Null stays null; an empty text stays empty. Both forms are idempotent.
 """
@@ -33,14 +33,16 @@ IGNORABLE = (
     (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
-# Letters of Greek and Cyrillic that look like a Latin letter, each followed by that letter.
+# Fixed values, after Unicode's table of confusable characters, of one case each: letters of Greek and Cyrillic that look like a
+# Latin letter, each followed by that letter; then letters of Cyrillic that look like a Greek one and no Latin one.
 LOOK_ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
     "С": "C", "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "а": "a", "е": "e", "ѕ": "s",
     "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ѵ": "v", "ӏ": "l", "Ӏ": "I",
+    "ѵ": "v", "ӏ": "l", "Ӏ": "I", "Ϲ": "C", "Ϳ": "J", "Ϻ": "M", "Ϝ": "F", "Ѵ": "V", "Ӕ": "Æ", "ӕ": "æ", "Ә": "Ə", "ә": "ə",
+    "Г": "Γ", "П": "Π", "Ф": "Φ", "Ѱ": "Ψ", "Л": "Λ", "Ѳ": "Θ", "к": "κ", "ф": "φ", "ѱ": "ψ",
 }
 
 REPLACED_TAGS = ("<wide>", "<narrow>", "<noBreak>")
@@ -137,17 +139,19 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 def look_alikes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (``doc_id_a < doc_id_b``) whose texts differ as strings but have one appearance.
 
-    Texts are grouped by a digest of their appearance. Only appearances with several different
-    strings go on (``min != max`` of the string digests, pre-aggregated), so a text that has a million plain copies and no
-    twin costs one row after the first exchange. Null texts, empty texts and texts that show nothing give no pair; a
-    repeated (id, text) row counts once.
+    Texts are grouped by a digest of their appearance. Only appearances with several different strings go on (``min != max`` of
+    the string digests, pre-aggregated). Their different strings are paired first, copies once, and only pairs of strings then
+    meet the documents of either: a text with a million copies and one twin costs a million rows, its pairs. Null texts, empty
+    texts and texts that show nothing give no pair; a repeated (id, text) row counts once.
     """
     rows = written(digests(docs, id_col, text))
     several = rows.groupBy("form").agg(F.min("string").alias("lo"), F.max("string").alias("hi")).where("lo != hi").select("form")
-    left = written(rows.join(several, "form", "left_semi").distinct())
-    right = left.select("form", F.col("string").alias("string_b"), F.col("doc_id").alias("doc_id_b"))
-    pairs = left.join(right, "form").where((F.col("doc_id") < F.col("doc_id_b")) & (F.col("string") != F.col("string_b")))
-    return pairs.select(F.col("doc_id").alias("doc_id_a"), "doc_id_b")
+    members = written(rows.join(several, "form", "left_semi").distinct())
+    strings = members.select("form", F.col("string").alias("a")).distinct()
+    pairs = strings.join(strings.select("form", F.col("a").alias("b")), "form").where("a < b").select("a", "b")
+    one = members.select(F.col("string").alias("a"), F.col("doc_id").alias("x"))
+    other = members.select(F.col("string").alias("b"), F.col("doc_id").alias("y"))
+    return pairs.join(one, "a").join(other, "b").where("x != y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def form_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
