@@ -17,10 +17,12 @@ def targets(spark, data):
 
 def test_plan_reaches_shares_within_repeats():
     t = [dict(source="a", target_share=0.5, max_repeats=1, documents=10, tokens=1000), dict(source="b", target_share=0.48, max_repeats=4, documents=10, tokens=300), dict(source="c", target_share=0.02, max_repeats=3, documents=1, tokens=1), dict(source="d", target_share=0.0, max_repeats=3, documents=1, tokens=5)]
-    p = {x["source"]: x for x in mixing.plan(t)}
+    p = {x["source"]: x for x in mixing.plan(t, starved_share=0.05)}
     assert p["a"]["times"] == pytest.approx(1.0) and p["b"]["times"] == pytest.approx(3.2)
     assert p["c"]["times"] == 3 and p["c"]["starved"] and not p["a"]["starved"] and p["d"]["times"] == 0
     assert mixing.plan([]) == []
+    p = {x["source"]: x for x in mixing.plan([*t, dict(source="none", target_share=0.1, max_repeats=4, documents=0, tokens=0)])}
+    assert p["c"]["times"] == pytest.approx(3) and p["a"]["times"] == pytest.approx(0.075) and not p["c"]["starved"] and p["none"]["starved"]
 
 
 @pytest.mark.parametrize("bucket", [mixing.BUCKET_DOCS, 40])

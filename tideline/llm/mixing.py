@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from tideline.runtime import written
 
 BUCKET_DOCS, FAN_IN = 20_000, 64
-STARVED_SHARE = 0.05
 
 
 def tokenizer_path() -> str:
@@ -53,20 +52,20 @@ def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "source", "text").where("doc_id is not null and source is not null").mapInPandas(count, "doc_id long, source string, tokens long")
 
 
-def plan(targets: list[dict], total: float | None = None) -> list[dict]:
+def plan(targets: list[dict], total: float | None = None, starved_share: float = 0.0) -> list[dict]:
     """How many times each source is used. ``targets``: source, target_share, max_repeats, documents, tokens.
 
-    ``total``: tokens wanted; by default the most at which every source reaches its share within its repeats, where the
-    sources that would allow least are passed over as starved while they hold at most ``STARVED_SHARE`` of the shares
-    together (a source without documents is always starved). A starved source gives all it may; its share is short and
-    reported as it is.
+    ``total``: tokens wanted; by default the most at which every source that has tokens reaches its share within its repeats. A
+    caller may let sources that would allow least, and hold at most ``starved_share`` of the shares together, be passed over. A
+    source that cannot reach its share (one without documents never can) gives all it may, is marked as starved, and its share
+    is reported as it is.
     """
     most = {t["source"]: t["max_repeats"] * t["tokens"] / t["target_share"] for t in targets if t["target_share"] > 0}
     if total is None:
         passed, total = 0.0, 0.0
         for t in sorted((t for t in targets if t["target_share"] > 0), key=lambda t: (most[t["source"]], t["source"])):
-            passed += t["target_share"]
-            if most[t["source"]] > 0 and passed > STARVED_SHARE + 1e-9:
+            passed += t["target_share"] if most[t["source"]] > 0 else 0.0
+            if most[t["source"]] > 0 and passed > starved_share + 1e-9:
                 total = most[t["source"]]
                 break
             total = max(total, most[t["source"]])
@@ -116,7 +115,7 @@ def _targets(sizes: DataFrame, targets: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows.toLocalIterator()]
 
 
-def copies(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, path: str | None = None) -> tuple[DataFrame, list[dict]]:
+def copies(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, path: str | None = None, starved_share: float = 0.0) -> tuple[DataFrame, list[dict]]:
     """(doc_id, source, tokens, copies) of every document of a targeted source, and the plan by source.
 
     Documents without id, source or target take no part. A repeated row is a document of its own. An empty text has no
@@ -124,7 +123,7 @@ def copies(docs: DataFrame, targets: DataFrame, total: float | None = None, seed
     """
     spark = docs.sparkSession
     sizes = written(with_tokens(docs, path))
-    planned = plan(_targets(sizes, targets), total)
+    planned = plan(_targets(sizes, targets), total, starved_share)
     per = spark.createDataFrame([(t["source"], float(t["times"])) for t in planned], "source string, times double")
     buckets = max(1, math.ceil(sum(t["documents"] for t in planned) / BUCKET_DOCS))
     rows = sizes.join(F.broadcast(per), "source").select(
@@ -144,9 +143,9 @@ def copies(docs: DataFrame, targets: DataFrame, total: float | None = None, seed
     return out, planned
 
 
-def shares(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, path: str | None = None) -> DataFrame:
+def shares(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, path: str | None = None, starved_share: float = 0.0) -> DataFrame:
     """Per target: documents and tokens there, tokens taken, the share reached, the most copies of one document."""
-    out, planned = copies(docs, targets, total, seed, path)
+    out, planned = copies(docs, targets, total, seed, path, starved_share)
     taken = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken_tokens"), F.sum("copies").alias("taken_documents"), F.max("copies").alias("most_copies"))
     names = "source string, target_share double, max_repeats int, documents long, tokens long, starved boolean"
     base = docs.sparkSession.createDataFrame([(t["source"], float(t["target_share"]), int(t["max_repeats"]), int(t["documents"]), int(t["tokens"]), t["starved"]) for t in planned], names)
