@@ -42,7 +42,7 @@ def test_log_stream_and_partitions(spark, tmp_path):
 
 
 def test_state_has_no_guard_after_a_final_event(spark):
-    df = events(spark, [(1, "r", 10, "run_created", '{"principal":"p"}'), (2, "r", 20, "run_completed", "{}"), (3, "r", 30, "inference_completed", "no json"), (4, "q", 10, "vlm", None)])
+    df = events(spark, [(1, "r", 10, "run_created", '{"principal_key":"p"}'), (2, "r", 20, "run_completed", "{}"), (3, "r", 30, "inference_completed", "no json"), (4, "q", 10, "vlm", None)])
     got = {r.run_id: r for r in tl.run_summary(df).collect()}
     assert (got["r"].state, got["r"].principal, got["r"].last_ms) == ("processing", "p", 30) and (got["q"].state, got["q"].created) == ("pending", False)
     late = {r.run_id: r.state for r in tl.with_expiry(tl.run_summary(df), 10_000_000).collect()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.text import cut_bytes
+
 FRAME = ["stream_id", "frame_index", "frame_id"]
 ALL_ONES = -1
 
@@ -82,14 +84,14 @@ def words(text: Column, most: int = 128) -> Column:
     return F.array_distinct(F.slice(F.filter(F.split(text, r"\s+"), lambda x: x != ""), 1, most))
 
 
-def transitions(events: DataFrame, key: str, text: str, order: tuple[str, ...], below: float = 0.5, kept_chars: int = 200) -> DataFrame:
-    """Events whose words are less alike than ``below`` (Jaccard) to the words of the one before, cut to ``kept_chars``; the
-    first of a key is none. Two texts without words are alike."""
+def transitions(events: DataFrame, key: str, text: str, order: tuple[str, ...], below: float = 0.5, kept_bytes: int = 200) -> DataFrame:
+    """Events whose words are less alike than ``below`` (Jaccard) to the words of the one before, cut to ``kept_bytes`` at the end of
+    a character; the first of a key, and one after an empty text, is none. Two texts without words are alike."""
     w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumns({"_w": words(F.col(text)), "_p": words(F.substring(F.lag(text).over(w), 1, kept_chars))})
+    rows = events.withColumn("_l", F.nullif(F.lag(text).over(w), F.lit(""))).withColumns({"_w": words(F.col(text)), "_p": words(cut_bytes(F.col("_l"), kept_bytes))})
     either = F.size(F.array_union("_w", "_p"))
     alike = F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect("_w", "_p")) / either)
-    return rows.withColumn("similarity", alike).where(F.col("_p").isNotNull() & (F.col("similarity") < below)).drop("_w", "_p")
+    return rows.withColumn("similarity", alike).where(F.col("_p").isNotNull() & (F.col("similarity") < below)).drop("_w", "_p", "_l")
 
 
 def segments(frames: DataFrame, key: str = "stream_id", kind: str = "event_type") -> DataFrame:

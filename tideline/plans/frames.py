@@ -216,7 +216,7 @@ SQL = {
         SELECT frame_id, lp AS loop, lp AND NOT coalesce(lag(lp) OVER {OVER}, false) AS enters FROM q""",
     "fr_emitted": f"""WITH {A_SQL}, p AS (SELECT id, session_id, pts_ms, row_number() OVER k = 1 OR description IS DISTINCT FROM lag(description) OVER k AS fresh FROM a WINDOW k AS (PARTITION BY session_id ORDER BY pts_ms, id)),
         q AS (SELECT *, CAST(sum(CASE WHEN fresh THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY pts_ms, id) AS BIGINT) AS suppressed FROM p) SELECT id, suppressed FROM q WHERE fresh""",
-    "fr_transitions": f"""WITH {A_SQL}, p AS (SELECT id, description AS d, substr(lag(description) OVER (PARTITION BY session_id ORDER BY pts_ms, id), 1, 200) AS b FROM a), q AS (SELECT id, {WORDS_SQL.format('d')} AS x, {WORDS_SQL.format('b')} AS y FROM p WHERE d IS NOT NULL AND b IS NOT NULL),
+    "fr_transitions": f"""WITH {A_SQL}, p AS (SELECT id, description AS d, nullif(lag(description) OVER (PARTITION BY session_id ORDER BY pts_ms, id), '') AS l FROM a), bb AS (SELECT id, d, CASE WHEN octet_length(encode(l)) <= 200 THEN l ELSE list_filter(list_transform(range(201, 0, -1), lambda n: substr(l, 1, n)), lambda x: octet_length(encode(x)) <= 200)[1] END AS b FROM p), q AS (SELECT id, {WORDS_SQL.format('d')} AS x, {WORDS_SQL.format('b')} AS y FROM bb WHERE d IS NOT NULL AND b IS NOT NULL),
         r AS (SELECT id, CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS v FROM q) SELECT id, round(v, 12) AS similarity FROM r WHERE v < 0.5""",
     "fr_context": f"WITH {A_SQL} SELECT id, lag(description) OVER (PARTITION BY session_id ORDER BY pts_ms, id) AS previous FROM a",
     "fr_segments": f"WITH {SEG} SELECT * REPLACE (round(confidence, 12) AS confidence) FROM se",

@@ -52,7 +52,7 @@ def decoded(s: SparkSession, d: str) -> DataFrame:
 
 
 def admission(s: SparkSession, d: str) -> DataFrame:
-    rows = tp.log(s, d).select(F.lit("all").alias("lane"), (F.col("seq") * 40).alias("arrive"), "seq", F.get_json_object("payload", "$.principal").alias("principal"), "stream_id", (F.col("k") % 3).alias("class"), (F.col("seq") * 40 + 2000).alias("latest"), (F.col("k") + 1).cast("long").alias("takes"))
+    rows = tp.log(s, d).select(F.lit("all").alias("lane"), (F.col("seq") * 40).alias("arrive"), "seq", F.get_json_object("payload", "$.principal_key").alias("principal"), "stream_id", (F.col("k") % 3).alias("class"), (F.col("seq") * 40 + 2000).alias("latest"), (F.col("k") + 1).cast("long").alias("takes"))
     rows = rows.withColumn("lane", F.concat(F.lit("lane-"), F.col("seq").cast("string").substr(-1, 1)))
     return fold(rows, ["lane"], ["arrive", "seq"], ["arrive", "seq", "principal", "stream_id", "class", "latest", "takes"], partial(lv.Admission, 2, 1), lv.ADMISSION_SCHEMA)
 

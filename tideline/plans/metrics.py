@@ -168,5 +168,5 @@ SQL = {
         SELECT event_id, px AS x, py AS y, greatest(least(pw, (1921 & -2) - px), 2) AS width, greatest(least(ph, (1081 & -2) - py), 2) AS height FROM q""",
     "fn_text": """WITH a AS (SELECT DISTINCT id, description AS d, pts_ms FROM agent_events WHERE description IS NOT NULL), w AS (SELECT *, list_filter(string_split_regex(lower(d), '\\s+'), lambda x: x <> '') AS t FROM a),
         g AS (SELECT *, list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS tri FROM w)
-        SELECT id, substr(d, 1, 20) AS cut, substr(d, 1, 20) AS cut_bytes, len(t) > 16 OR (len(t) >= 9 AND len(list_distinct(tri)) / len(tri) < 0.45) AS unreliable, CAST(90000 AS BIGINT) AS minutes_ms, pts_ms // 90 AS rtp_ms, (pts_ms - 4294967000 + 4294967296) % 4294967296 AS since, sha256(d) AS sha FROM g""",
+        SELECT id, substr(d, 1, 20) AS cut, list_filter(list_transform(range(20, -1, -1), lambda n: substr(d, 1, n)), lambda x: octet_length(encode(x)) <= 20)[1] AS cut_bytes, len(t) > 16 OR (len(t) >= 9 AND len(list_distinct(tri)) / len(tri) < 0.45) AS unreliable, CAST(90000 AS BIGINT) AS minutes_ms, pts_ms // 90 AS rtp_ms, (pts_ms - 4294967000 + 4294967296) % 4294967296 AS since, sha256(d) AS sha FROM g""",
 }

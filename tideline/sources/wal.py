@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 FIELDS = ("seq", "run_id", "stream_id", "pts_ms", "kind", "payload")
 NUMBERS = ("seq", "pts_ms")
 SCHEMA = "seq long, run_id string, stream_id string, pts_ms long, kind string, payload string"
-MARK = "\x00"
 
 
 def escaped(text: str | Column) -> Column:
@@ -17,20 +16,23 @@ def escaped(text: str | Column) -> Column:
 
 
 def plain(text: str | Column) -> Column:
-    """The text of an escaped field; a backslash before another character stays. Double backslashes are set aside first, so
-    that one pass over the rest cannot mistake half of one for an escape."""
-    c = F.replace(text, F.lit("\\\\"), F.lit(MARK))
-    c = F.replace(F.replace(c, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(c, F.lit(MARK), F.lit("\\"))
+    """The text of an escaped field; a backslash before another character stays. The text is cut at its double backslashes, from
+    the left, so what remains between them holds single ones only; the parts are unescaped and joined by one backslash."""
+    text = F.col(text) if isinstance(text, str) else text
+    single = lambda x: F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n"))
+    parts = F.split(text, r"\\\\", -1)
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, single), "\\")).otherwise(text)
 
 
 def decoded(lines: DataFrame) -> DataFrame:
-    """Events of log lines (``value``); a line without six fields or with an unreadable number is left out."""
-    parts = F.split("value", "\t", -1)
-    rows = lines.select(parts.alias("p")).where(F.size("p") == 6)
-    cols = [F.col("p")[k].try_cast("long").alias(n) if n in NUMBERS else plain(F.col("p")[k]).alias(n) for k, n in enumerate(FIELDS)]
-    rows = rows.select(*cols)
-    return rows.where("seq is not null and pts_ms is not null and seq >= 0 and pts_ms >= 0")
+    """Events of log lines (``value``); a line of fewer than six fields or with an unreadable number is left out. Tabs beyond the
+    fifth belong to the payload. Text that is no UTF-8 is an error. A line is split once: its parts come out of a generator,
+    which later filters and fields are not pushed through."""
+    valid = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.lit("a log line is not UTF-8")))
+    rows = lines.where("value is not null").select(F.explode(F.array(F.split(valid, "\t", 6))).alias("p")).where(F.size("p") == 6)
+    cols = [F.col("p")[k].try_cast("long").alias(n) if n in NUMBERS else F.col("p")[k].alias(n) for k, n in enumerate(FIELDS)]
+    rows = rows.select(*cols).where("seq >= 0 and pts_ms >= 0")
+    return rows.select(*[F.col(n) if n in NUMBERS else plain(n).alias(n) for n in FIELDS])
 
 
 def encoded(events: DataFrame) -> DataFrame:
