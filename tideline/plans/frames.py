@@ -246,6 +246,18 @@ SQL = {
         "SELECT n.stream_id, n.i, n.frame_id, n.pts_ms, CASE WHEN n.pts_ms - g.chunk_start_ms >= 5000 THEN g.chunk + 1 ELSE g.chunk END, CASE WHEN n.pts_ms - g.chunk_start_ms >= 5000 THEN n.pts_ms ELSE g.chunk_start_ms END FROM g JOIN n ON n.stream_id = g.stream_id AND n.i = g.i + 1",
         "SELECT stream_id, frame_id, pts_ms, chunk, chunk_start_ms FROM g",
     ),
+    "fold_token_budget": f"""WITH RECURSIVE {A_SQL}, n AS MATERIALIZED (SELECT session_id, id, pts_ms, coalesce(length(description), 0) // 4 AS cost, row_number() OVER (PARTITION BY session_id ORDER BY pts_ms, id) AS i FROM a),
+        g AS (SELECT session_id, id, pts_ms, i, pts_ms AS start, true AS allowed, cost AS used FROM n WHERE i = 1
+        UNION ALL SELECT session_id, id, pts_ms, i, CASE WHEN fresh THEN pts_ms ELSE start END, fresh OR used < 20, CASE WHEN fresh THEN cost WHEN used < 20 THEN used + cost ELSE used END FROM (SELECT n.*, g.start, g.used, n.pts_ms - g.start >= 1000 AS fresh FROM g JOIN n ON n.session_id = g.session_id AND n.i = g.i + 1))
+        SELECT session_id, id, pts_ms, allowed, CAST(used AS BIGINT) AS used FROM g""",
+    "fold_speech_ranges": f"""WITH RECURSIVE {O_SQL}, n AS MATERIALIZED (SELECT stream_id, start_ms AS a, end_ms AS b, CAST(confidence AS DOUBLE) AS c, row_number() OVER (PARTITION BY stream_id ORDER BY start_ms, end_ms, confidence) AS i FROM o WHERE kind = 'speech' AND end_ms - start_ms >= 250),
+        g AS (SELECT *, a AS s, 0 AS k FROM n WHERE i = 1 UNION ALL SELECT stream_id, a, b, c, i, CASE WHEN j THEN s ELSE a END, CASE WHEN j THEN k ELSE k + 1 END FROM (SELECT n.*, g.s, g.k, n.a - g.b <= 1000 AND n.b - g.s <= 20000 AS j FROM g JOIN n ON n.stream_id = g.stream_id AND n.i = g.i + 1))
+        SELECT stream_id, greatest(min(a) - 300, 0) AS a_ms, arg_max(b, i) + 300 AS b_ms, round(max(c), 12) AS confidence FROM g GROUP BY stream_id, k""",
+    "fold_transcript": f"""WITH RECURSIVE {O_SQL}, p AS (SELECT stream_id, start_ms AS a, end_ms AS b, trim(regexp_replace(transcript, '\\s+', ' ', 'g')) AS t FROM o WHERE kind = 'speech' AND end_ms > start_ms),
+        n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY a, b, t) AS i FROM p WHERE t <> ''),
+        g AS (SELECT *, a AS s, 0 AS k, true AS h FROM n WHERE i = 1 UNION ALL SELECT stream_id, a, b, t, i, CASE WHEN j THEN s ELSE a END, CASE WHEN j THEN k ELSE k + 1 END, NOT j
+          FROM (SELECT n.*, g.s, g.k, n.a - g.b <= 750 AND n.b - g.s <= 8000 AND NOT regexp_matches(g.t, '[.?!]$') AS j FROM g JOIN n ON n.stream_id = g.stream_id AND n.i = g.i + 1))
+        SELECT stream_id, min(a) AS a_ms, arg_max(b, i) AS b_ms, string_agg(CASE WHEN h OR regexp_matches(t, '^[,.?!;:''-]') THEN '' ELSE ' ' END || t, '' ORDER BY i) AS text FROM g GROUP BY stream_id, k""",
     "mo_audio": f"""WITH {O_SQL} SELECT observation_id, least(start_ms, 3999000) AS start_offset_ms, least(end_ms, 3999000) AS end_offset_ms, 1000 + least(start_ms, 3999000) AS start_pts_ms, 1000 + least(end_ms, 3999000) AS end_pts_ms,
         CASE WHEN kind = 'speech' THEN 'speech' WHEN label = 'music' THEN 'music' ELSE 'sound_effect' END AS kind, CASE WHEN trim(transcript) <> '' THEN 'Speaker: ' || transcript ELSE label END AS description
         FROM o WHERE kind <> 'voice_activity' AND least(end_ms, 3999000) > least(start_ms, 3999000)""",
