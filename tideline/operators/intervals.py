@@ -4,7 +4,7 @@ Time is discrete in milliseconds; an interval sets the bits ``[start, end)``. Pe
 ``SHARD_MS`` bits. A shard's bitmap is kept compressed, as its set runs; whole shards inside a long interval are one run of
 full shards. The union of a shard's bitmaps is taken in one window pass. Set runs become periods, clear runs gaps.
 
-Only a summary per shard (first set bit, last set bit) is ordered within an entity, so an entity with a third of all rows is
+Only a summary per shard (its first and last run) is ordered within an entity, so an entity with a third of all rows is
 spread over as many tasks as it has shards. Within a shard, rows are first reduced to one per start bit, so a shard hands on
 at most ``SHARD_MS`` runs whatever its number of rows.
 """
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.runtime import written
+
 SHARD_MS = 1 << 16
 
 
@@ -47,33 +49,41 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], shard_ms: int = SH
     """
     rows = intervals.select(*entity, "start_ms", "end_ms").where("end_ms > start_ms")
     runs = run_bitmaps(rows, entity, shard_ms)
-    nothing = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    full = _union(runs.where("shard is null").drop("shard"), entity).withColumn("inner", nothing)
-    # One row per shard: its first and last set bit and the clear runs between them.
+    full = _union(runs.where("shard is null").drop("shard"), entity).select(*entity, "lo", "hi", F.col("hi").alias("first_end"), F.col("lo").alias("last_start"), F.lit(True).alias("full"))
     part = [*entity, "shard"]
-    set_runs = _union(runs.where("shard is not null"), part).withColumn("before", F.lag("hi").over(Window.partitionBy(*part).orderBy("lo")))
-    clear = F.collect_list(F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("a"), F.col("lo").alias("b"))))
-    shards = set_runs.groupBy(*part).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(clear).alias("inner")).drop("shard")
+    set_runs = _union(runs.where("shard is not null"), part)
+    w = Window.partitionBy(*part).orderBy("lo")
+    first = F.min("lo").over(Window.partitionBy(*part))
+    set_runs = written(set_runs.withColumns({"before": F.lag("hi").over(w), "after": F.lead("lo").over(w), "shard_lo": first}))
+    # Per shard its first and last set bit, the end of its first run and the start of its last: all that is ordered in an entity.
+    shards = set_runs.groupBy(*part).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hi").alias("first_end"), F.max("lo").alias("last_start")).drop("shard")
 
-    # Full runs lie on shard borders, so a shard is either wholly inside one (then its clear runs are none) or apart from all.
-    w = Window.partitionBy(*entity).orderBy("lo", F.desc("hi"), F.size("inner"))
+    # Full runs lie on shard borders, so a shard is either wholly inside one, or apart from all; a shard inside counts for nothing.
+    w = Window.partitionBy(*entity).orderBy("lo", F.desc("hi"), F.col("full").desc())
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = shards.unionByName(full).withColumns({"cover": F.max("hi").over(past), "last": F.lead("lo").over(w).isNull()})
-    edge = F.when(F.col("lo") > F.col("cover"), F.array(F.struct(F.col("cover").alias("a"), F.col("lo").alias("b")))).otherwise(nothing)
-    rows = rows.withColumn("gaps", F.concat(edge, F.when(F.coalesce(F.col("cover") >= F.col("hi"), F.lit(False)), nothing).otherwise(F.col("inner"))))
-    rows = rows.withColumn("restart", F.coalesce(F.array_max(F.transform("gaps", lambda g: g["b"])), F.when(F.col("cover").isNull(), F.col("lo"))))
-    rows = rows.withColumns({
-        # A period still open when this row begins; for an entity's first row it begins with the row.
-        "open": F.coalesce(F.max("restart").over(past), F.col("lo")),
-        "open_after": F.max("restart").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "reach": F.greatest("hi", "cover"),
-    })
-    span = lambda kind, a, b: F.struct(F.lit(kind).alias("span"), a.alias("start_ms"), b.alias("end_ms"))
-    gaps = F.transform("gaps", lambda g: span("gap", g["a"], g["b"]))
-    closed = F.transform("gaps", lambda g, k: span("period", F.when(k == 0, F.col("open")).otherwise(F.get(F.col("gaps"), k - 1)["b"]), g["a"]))
-    final = F.when(F.col("last"), F.array(span("period", F.col("open_after"), F.col("reach"))))
-    none = F.array().cast("array<struct<span:string,start_ms:bigint,end_ms:bigint>>")
-    return rows.select(*entity, F.explode(F.concat(gaps, closed, F.coalesce(final, none))).alias("x")).select(*entity, "x.*")
+    edges = shards.withColumn("full", F.lit(False)).unionByName(full).withColumns({"cover": F.max(F.when(F.col("full"), F.col("hi"))).over(past)})
+    edges = written(edges)
+    inside = edges.where("not full and cover >= hi").select(*entity, "lo").withColumn("inside", F.lit(True))
+    edges = edges.where("full or cover is null or cover < hi")
+    edges = edges.withColumns({"reach": F.max("hi").over(past), "next": F.lead("lo").over(w)})
+    # A piece begins where nothing reaches it; a run that leaves its shard's edge belongs to the piece that reached the edge.
+    begins = F.coalesce(F.col("lo") > F.col("reach"), F.lit(True))
+    several = F.col("last_start") > F.col("lo")
+    opened = F.max(F.when(several, F.col("last_start")).when(begins, F.col("lo"))).over(past)
+    edges = edges.withColumns({"begins": begins, "several": several & ~F.col("full"), "open": F.when(begins, F.col("lo")).otherwise(opened)})
+    ends = F.col("next").isNull() | (F.col("next") > F.col("hi"))
+    span = lambda kind, a, b: F.struct(F.lit(kind).alias("span"), a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
+    out = edges.select(*entity, F.explode(F.array_compact(F.array(
+        F.when(F.col("several"), span("period", F.col("open"), F.col("first_end"))),
+        F.when(ends, span("period", F.when(F.col("several"), F.col("last_start")).otherwise(F.col("open")), F.col("hi"))),
+        F.when(ends & F.col("next").isNotNull(), span("gap", F.col("hi"), F.col("next"))),
+    ))).alias("x")).select(*entity, "x.*")
+    # What lies between the first and the last run of a shard never leaves it; shards inside a full run have no gaps.
+    inner = set_runs.where("before is not null")
+    same = [F.col(f"i.{e}").eqNullSafe(F.col(f"s.{e}")) for e in entity] + [F.col("i.shard_lo") == F.col("s.lo")]
+    inner = inner.alias("i").join(inside.alias("s"), same, "left_anti")
+    own = F.array_compact(F.array(span("gap", F.col("before"), F.col("lo")), F.when(F.col("after").isNotNull(), span("period", F.col("lo"), F.col("hi")))))
+    return out.unionByName(inner.select(*entity, F.explode(own).alias("x")).select(*entity, "x.*"))
 
 
 def modality_intervals(moments: DataFrame) -> DataFrame:
