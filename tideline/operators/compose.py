@@ -158,3 +158,62 @@ def sound_windows(tracks: DataFrame, window_s: int = 4, rate: int = 32_000) -> D
     rows = tracks.select("track", "samples", F.explode(starts).alias("a")).withColumn("b", F.least("samples", F.col("a") + size))
     rows = rows.where(F.col("b") - F.col("a") >= rate // 10)
     return rows.select("track", F.round(F.col("a") * 1000 / rate).cast("long").alias("start_ms"), F.round(F.col("b") * 1000 / rate).cast("long").alias("end_ms"))
+
+
+def model_name(raw: Column, aliases: dict[str, str]) -> Column:
+    """A model's own name: trimmed, and by ``aliases`` (lower-case name -> name) whatever its case; another stays as it is."""
+    name = F.trim(raw)
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else None
+    return name if known is None else F.coalesce(F.try_element_at(known, F.lower(name)), name)
+
+
+def longest_edge(width: Column, height: Column, most: int) -> Column:
+    """(width, height) of a picture made to fit ``most`` pixels on its longer side, even and not enlarged."""
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
+    side = lambda x: F.greatest(F.floor(x * scale / 2).cast("int") * 2, F.lit(2))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def with_pictures(frames: DataFrame, pictures: DataFrame, key: str = "stream_id") -> DataFrame:
+    """Frames that have a picture (key, frame_index, content), with it; of several of one index the smallest by digest."""
+    one = pictures.where("content is not null").groupBy(key, "frame_index").agg(F.min_by("content", F.sha2("content", 256)).alias("content"))
+    return frames.join(one, [key, "frame_index"])
+
+
+def in_request_order(replies: DataFrame, request: str = "request_id", position: str = "position") -> DataFrame:
+    """A batch's replies in the order of its requests; a position answered twice counts once, by the smallest attempt."""
+    rows = replies.groupBy(request, position).agg(F.min_by(F.struct("text", "attempt"), "attempt").alias("r"))
+    return rows.select(request, position, "r.text", "r.attempt").orderBy(request, position)
+
+
+def overlay_choice(provider: Column, top_moment: Column, local_audio: Column) -> Column:
+    """The overlay of a chunk: the most confident moment where local audio must back it, else the provider's."""
+    return F.when(F.coalesce(local_audio, F.lit(False)), top_moment).otherwise(provider)
+
+
+def strict_overlay(text: Column) -> Column:
+    """An overlay decoded from JSON text; null unless it is an object with a non-blank type, label and description. A lacking
+    confidence is 0.5; one beyond [0, 1] is cut to it."""
+    o = F.from_json(text, "event_type string, object_label string, description string, summary string, confidence double")
+    whole = F.lit(True)
+    for name in ("event_type", "object_label", "description"):
+        whole = whole & F.coalesce(F.trim(o[name]) != "", F.lit(False))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(o["confidence"], F.lit(0.5))))
+    return F.when(whole, F.struct(*[F.trim(o[n]).alias(n) for n in ("event_type", "object_label", "description")], o["summary"].alias("summary"), confidence.alias("confidence")))
+
+
+def guided_items(payload: Column, at: str, most: int = 32) -> Column:
+    """The objects of a guided answer (a JSON array, or one object) at a path, as texts, the first ``most`` of them."""
+    got = F.get_json_object(payload, at)
+    several = F.from_json(F.when(got.startswith("{"), F.concat(F.lit("["), got, F.lit("]"))).otherwise(got), "array<string>")
+    return F.slice(F.coalesce(F.filter(several, lambda x: F.coalesce(x.startswith("{"), F.lit(False))), F.array().cast("array<string>")), 1, most)
+
+
+def decoded_by_schema(rows: DataFrame, payload: str, schema: str) -> DataFrame:
+    """Rows with their answer decoded by the schema the request asked for, and whether it had all of its fields."""
+    out = rows.withColumn("answer", F.from_json(payload, schema))
+    fields = out.schema["answer"].dataType.fieldNames()
+    lacking = F.lit(False)
+    for f in fields:
+        lacking = lacking | F.col("answer")[f].isNull()
+    return out.withColumn("complete", F.coalesce(F.col("answer").isNotNull() & ~lacking, F.lit(False)))

@@ -103,7 +103,47 @@ def latest(s: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("pts_ms"), F.desc("id")).limit(20).select("id", "pts_ms")
 
 
+def pictured(s: SparkSession, d: str) -> DataFrame:
+    """Every third frame has a picture, some two."""
+    f = fr.frames(s, d).select("frame_id", "stream_id", "frame_index")
+    one = f.where("frame_index % 3 = 0").select("stream_id", "frame_index", F.encode(F.concat("stream_id", F.lit("/"), F.col("frame_index").cast("string")), "UTF-8").alias("content"))
+    return co.with_pictures(f, one.unionByName(one.where("frame_index % 2 = 0"))).select("frame_id", F.sha2("content", 256).alias("sha"))
+
+
+def ordered_replies(s: SparkSession, d: str) -> DataFrame:
+    k, e = F.col("k"), F.col("seq")
+    rows = tp.log(s, d).select(F.floor(e / 16).alias("request_id"), (e % 8).alias("position"), F.concat(F.lit("t"), k).alias("text"), F.floor(e % 16 / 8).alias("attempt"))
+    return co.in_request_order(rows)
+
+
+def overlays(s: SparkSession, d: str) -> DataFrame:
+    """Envelopes' data as providers' answers, strictly decoded; where audio is asked for, a moment made of the type."""
+    rows = table(s, d, "cloud_envelopes").select("delivery_id", "ce_type", "pts_ms")
+    k = F.col("delivery_id") % 7
+    text = F.concat(F.lit('{"event_type":"'), "ce_type", F.lit('","object_label":"'), F.when(k == 0, " ").otherwise("gate"), F.lit('","description":"seen"'), F.when(k == 1, ',"confidence":3').when(k == 2, ',"confidence":0.25').otherwise(""), F.when(k == 3, "").otherwise("}"))
+    said = co.strict_overlay(text)
+    rows = rows.select("delivery_id", co.overlay_choice(said["event_type"], F.concat(F.lit("moment:"), "ce_type"), F.col("delivery_id") % 5 == 0).alias("event_type"), said["confidence"].alias("confidence"))
+    return rows
+
+
+def guided(s: SparkSession, d: str) -> DataFrame:
+    rows = tp.log(s, d).select("seq", F.concat(F.lit('{"out":['), F.array_join(F.transform(F.sequence(F.lit(0), F.col("k").cast("int")), lambda x: F.concat(F.lit('{"n":'), x.cast("string"), F.lit("}"))), ","), F.lit(',5]}')).alias("payload"))
+    return rows.select("seq", F.explode(co.guided_items(F.col("payload"), "$.out")).alias("item"))
+
+
+def answers(s: SparkSession, d: str) -> DataFrame:
+    rows = tp.log(s, d).select("seq", F.concat(F.lit('{"label":"a"'), F.when(F.col("k") % 2 == 0, F.concat(F.lit(',"n":'), F.col("k").cast("string"))).otherwise(""), F.when(F.col("k") % 10 == 9, "").otherwise("}")).alias("payload"))
+    return co.decoded_by_schema(rows, "payload", "label string, n int").select("seq", "answer.label", "answer.n", "complete")
+
+
 QUERIES = {
+    "co_pictures": pictured,
+    "co_ordered_replies": ordered_replies,
+    "co_overlays": overlays,
+    "co_guided": guided,
+    "co_answers": answers,
+    "co_models": lambda s, d: table(s, d, "customer").select("c_custkey", co.model_name(F.concat(F.lit(" "), F.initcap("c_mktsegment")), {"building": "site-2", "machinery": "site-3"}).alias("model")),
+    "co_longest_edge": lambda s, d: table(s, d, "part").select("p_partkey", co.longest_edge(F.col("p_size") * 100 + 1, F.lit(1081), 768).alias("r")).select("p_partkey", "r.*"),
     "lv_live": live,
     "lv_admission": admission,
     "lv_edge": edge,
@@ -127,6 +167,15 @@ QUERIES = {
 }
 
 SQL = {
+    "co_pictures": f"WITH {fr.F_SQL} SELECT frame_id, sha256(stream_id || '/' || frame_index) AS sha FROM f WHERE frame_index % 3 = 0",
+    "co_ordered_replies": f"WITH {tp.LOG} SELECT seq // 16 AS request_id, seq % 8 AS position, arg_min('t' || k, seq % 16 // 8) AS text, min(seq % 16 // 8) AS attempt FROM t GROUP BY 1, 2",
+    "co_overlays": """SELECT delivery_id, CASE WHEN delivery_id % 5 = 0 THEN 'moment:' || ce_type WHEN delivery_id % 7 IN (0, 3) THEN NULL ELSE ce_type END AS event_type,
+        CASE delivery_id % 7 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM cloud_envelopes""",
+    "co_guided": f"""WITH {tp.LOG} SELECT seq, '{{"n":' || unnest(range(0, least(k + 1, 32))) || '}}' AS item FROM t""",
+    "co_answers": f"WITH {tp.LOG} SELECT seq, CASE WHEN k % 10 <> 9 THEN 'a' END AS label, CASE WHEN k % 10 <> 9 AND k % 2 = 0 THEN CAST(k AS INT) END AS n, k % 10 <> 9 AND k % 2 = 0 AS complete FROM t",
+    "co_models": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'site-2' WHEN 'MACHINERY' THEN 'site-3' ELSE upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) END AS model FROM customer",
+    "co_longest_edge": """WITH p AS (SELECT p_partkey, p_size * 100 + 1 AS w, 1081 AS h FROM part), q AS (SELECT *, least(1.0::DOUBLE, 768.0::DOUBLE / greatest(w, h)) AS s FROM p)
+        SELECT p_partkey, CAST(greatest(floor(w * s / 2) * 2, 2) AS INT) AS width, CAST(greatest(floor(h * s / 2) * 2, 2) AS INT) AS height FROM q""",
     "lv_slots": f"WITH {tp.SUMMARY}, a AS (SELECT principal, count(*) FILTER (WHERE NOT deleted AND state NOT IN ('completed', 'failed', 'cancelled')) AS active FROM sm GROUP BY 1) SELECT principal, active, active < 4 AS may_begin FROM a",
     "lv_latest": f"WITH {fr.A_SQL} SELECT id, pts_ms FROM a ORDER BY pts_ms DESC, id DESC LIMIT 20",
     "co_metadata": f"""WITH x AS ({fr.GATE_SQL}), {fr.F_SQL} SELECT stream_id, frame_index, pts_ms // 250 * 250 AS start_ms, 'seg-' || lpad(printf('%x', pts_ms // 250), 8, '0') AS segment_id,

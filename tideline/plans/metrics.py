@@ -80,6 +80,11 @@ def rollout(s: SparkSession, d: str) -> DataFrame:
     return me.rollout(rows, "user_id", 60, 0.88, 300.0, 99).withColumn("success", F.round("success", 12))
 
 
+def detections(s: SparkSession, d: str) -> DataFrame:
+    rows = calls(s, d).select("provider", F.lit(1).alias("truths"), (F.col("k") % 3).cast("long").alias("founds"), (F.col("k") % 2).cast("long").alias("matched"), "latency_ms", F.lit(30).alias("frames"), F.lit(2.0).alias("seconds"))
+    return me.detection_summary(rows, "provider").withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "mean_ms", "fps")})
+
+
 def sweep(s: SparkSession, d: str) -> DataFrame:
     rows = calls(s, d).select((F.col("k") / 100).alias("score"), (F.col("k") > 45).alias("truth"))
     out = me.sweep(rows, "score", "truth", THRESHOLDS, 800.0, 40.0)
@@ -99,8 +104,9 @@ def crops(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_totals(s: SparkSession, d: str) -> DataFrame:
-    rows = calls(s, d).groupBy("provider").agg(F.least(F.sum(F.col("k").cast("long") * 10_000), F.lit(4_294_967_295)).alias("tokens"), F.count("*").alias("chunks"), F.count_if(F.col("k") % 10 == 0).alias("errors"), F.count_if(F.col("k") % 10 == 1).alias("fallbacks"))
-    return rows.withColumn("error_rate", F.round(F.col("errors") / F.col("chunks"), 12))
+    k = F.col("k")
+    rows = me.counters(calls(s, d), "provider", {"errors": k % 10 == 0, "fallbacks": k % 10 == 1}, {"tokens": k.cast("long") * 10_000}, {"error_rate": ("errors", "calls")})
+    return rows.withColumn("error_rate", F.round("error_rate", 12)).withColumnRenamed("calls", "chunks")
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
@@ -127,7 +133,8 @@ QUERIES = {
     "me_rollout": rollout,
     "me_sweep": sweep,
     "me_token_totals": token_totals,
-    "me_chunk_progress": lambda s, d: calls(s, d).select(F.when(F.col("k") % 3 > 0, F.col("k")).alias("chunk"), "provider").groupBy("provider").agg(F.count_distinct("chunk").alias("chunks"), F.count_if(F.col("chunk").isNull()).alias("without")),
+    "me_chunk_progress": lambda s, d: calls(s, d).select(F.when(F.col("k") % 3 > 0, F.col("k")).alias("chunk"), "provider").transform(lambda x: me.chunk_progress(x, "provider", "chunk")),
+    "me_detection_summary": detections,
     "fn_label": labels,
     "fn_crop": crops,
     "fn_text": texts,
@@ -163,6 +170,8 @@ SQL = {
         SELECT threshold, round(reuse, 12) AS reuse, round(recall, 12) AS recall, round(speedup, 12) AS speedup, row_number() OVER (ORDER BY recall >= 0.98 DESC, speedup DESC, threshold) = 1 AND recall >= 0.98 AS best FROM y""",
     "me_token_totals": f"WITH {C_SQL} SELECT provider, CAST(least(sum(CAST(k AS BIGINT) * 10000), 4294967295) AS BIGINT) AS tokens, count(*) AS chunks, count(*) FILTER (WHERE k % 10 = 0) AS errors, count(*) FILTER (WHERE k % 10 = 1) AS fallbacks, round(count(*) FILTER (WHERE k % 10 = 0) / count(*), 12) AS error_rate FROM c GROUP BY 1",
     "me_chunk_progress": f"WITH {C_SQL} SELECT provider, count(DISTINCT k) FILTER (WHERE k % 3 > 0) AS chunks, count(*) FILTER (WHERE k % 3 = 0) AS without FROM c GROUP BY 1",
+    "me_detection_summary": f"""WITH {C_SQL}, g AS (SELECT provider, count(*) AS t, sum(k % 3) AS f, sum(k % 2) AS m, min(latency_ms) AS least_ms, avg(latency_ms) AS mean_ms, max(latency_ms) AS most_ms FROM c GROUP BY 1), r AS (SELECT *, m / f AS p, m / t AS r FROM g)
+        SELECT provider, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1, least_ms, round(mean_ms, 9) AS mean_ms, most_ms, 15.0::DOUBLE AS fps FROM r""",
     "fn_label": """SELECT c_custkey, coalesce(CASE WHEN c_mktsegment = 'BUILDING' AND n_regionkey = 1 THEN n_name END, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' END, c_mktsegment) AS mapped, NOT coalesce(c_mktsegment = 'BUILDING' AND n_regionkey = 1, false) AS used_fallback FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "fn_crop": f"""WITH {C_SQL}, r AS (SELECT event_id, k / 200.0 AS x, k / 400.0 AS y, 0.5 - k / 400.0 AS w, 0.25 + k / 800.0 AS h FROM c), q AS (SELECT event_id, CAST(floor(1921 * x) AS INT) & -2 AS px, CAST(floor(1081 * y) AS INT) & -2 AS py, CAST(floor(1921 * w) AS INT) & -2 AS pw, CAST(floor(1081 * h) AS INT) & -2 AS ph FROM r)
         SELECT event_id, px AS x, py AS y, greatest(least(pw, (1921 & -2) - px), 2) AS width, greatest(least(ph, (1081 & -2) - py), 2) AS height FROM q""",
