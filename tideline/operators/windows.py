@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.text import cut_bytes
+from tideline.operators import carry
 
 FRAME = ["stream_id", "frame_index", "frame_id"]
 ALL_ONES = -1
+INDEX_WIDTH = 1 << 16
 
 
 def ordered(*keys: str, by: tuple[str, ...] = ("frame_index", "frame_id")):
@@ -53,12 +55,14 @@ def deltas(frames: DataFrame, live: bool = True, keys: tuple[str, ...] = ("strea
     return frames.withColumns({"luma_delta": F.abs(F.col("luma_mean") - first("luma_mean")), "noise_delta": F.abs(F.col("noise_variance_score") - first("noise_variance_score"))})
 
 
-def normal_time(frames: DataFrame, num: int, den: int) -> DataFrame:
+def normal_time(frames: DataFrame, num: int, den: int, width: int = INDEX_WIDTH) -> DataFrame:
     """Media time in ms from ticks of ``num / den`` seconds: from the first frame, never going back."""
-    w = ordered("stream_id")
-    since = F.greatest((F.col("pts") - F.first("pts").over(w)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    order = ("frame_index", "frame_id")
+    first = frames.groupBy("stream_id").agg(F.min_by("pts", F.struct(*order)).alias("_t0"))
+    since = F.greatest((F.col("pts") - F.col("_t0")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     ms = F.floor(since * F.lit(num * 1000).cast("decimal(20,0)") / F.lit(den)).cast("long")
-    return frames.withColumn("_ms", ms).withColumn("normal_ms", F.max("_ms").over(w)).drop("_ms")
+    rows = frames.join(first, "stream_id").withColumn("_ms", ms).drop("_t0")
+    return carry.running(carry.stretched(rows, order, width), "stream_id", order, most={"normal_ms": F.col("_ms")}).drop("_ms", carry.STRETCH)
 
 
 def loops(frames: DataFrame, bits: int = 6, repeats: int = 3, ring: int = 8, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
@@ -72,34 +76,35 @@ def loops(frames: DataFrame, bits: int = 6, repeats: int = 3, ring: int = 8, key
     return rows.withColumn("enters", F.col("loop") & ~F.coalesce(F.lag("loop").over(w), F.lit(False)))
 
 
-def emitted(events: DataFrame, key: str, text: str, order: tuple[str, ...]) -> DataFrame:
+def emitted(events: DataFrame, key: str, text: str, order: tuple[str, ...], width: int = carry.WIDTH) -> DataFrame:
     """Events without those that say just what the one before said, each with the number suppressed so far."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    rows = events.withColumn("_new", first | ~F.col(text).eqNullSafe(F.lag(text).over(w)))
-    return rows.withColumn("suppressed", F.sum(F.when(F.col("_new"), 0).otherwise(1)).over(w)).where("_new").drop("_new")
+    rows = carry.previous(carry.stretched(events, order, width), key, order, F.col(text))
+    rows = rows.withColumn("_new", F.col("_was").isNull() | ~F.col(text).eqNullSafe(F.col("_was.v"))).drop("_was")
+    rows = carry.running(rows, key, order, {"suppressed": F.when(F.col("_new"), 0).otherwise(1)})
+    return rows.where("_new").drop("_new", carry.STRETCH)
 
 
 def words(text: Column, most: int = 128) -> Column:
     return F.array_distinct(F.slice(F.filter(F.split(text, r"\s+"), lambda x: x != ""), 1, most))
 
 
-def transitions(events: DataFrame, key: str, text: str, order: tuple[str, ...], below: float = 0.5, kept_bytes: int = 200) -> DataFrame:
+def transitions(events: DataFrame, key: str, text: str, order: tuple[str, ...], below: float = 0.5, kept_bytes: int = 200, width: int = carry.WIDTH) -> DataFrame:
     """Events whose words are less alike than ``below`` (Jaccard) to the words of the one before, cut to ``kept_bytes`` at the end of
     a character; the first of a key, and one after an empty text, is none. Two texts without words are alike."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("_l", F.nullif(F.lag(text).over(w), F.lit(""))).withColumns({"_w": words(F.col(text)), "_p": words(cut_bytes(F.col("_l"), kept_bytes))})
+    rows = carry.previous(carry.stretched(events, order, width), key, order, F.col(text))
+    rows = rows.withColumn("_l", F.nullif(F.col("_was.v"), F.lit(""))).withColumns({"_w": words(F.col(text)), "_p": words(cut_bytes(F.col("_l"), kept_bytes))})
     either = F.size(F.array_union("_w", "_p"))
     alike = F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect("_w", "_p")) / either)
-    return rows.withColumn("similarity", alike).where(F.col("_p").isNotNull() & (F.col("similarity") < below)).drop("_w", "_p", "_l")
+    return rows.withColumn("similarity", alike).where(F.col("_p").isNotNull() & (F.col("similarity") < below)).drop("_w", "_p", "_l", "_was", carry.STRETCH)
 
 
-def segments(frames: DataFrame, key: str = "stream_id", kind: str = "event_type") -> DataFrame:
+def segments(frames: DataFrame, key: str = "stream_id", kind: str = "event_type", width: int = INDEX_WIDTH) -> DataFrame:
     """Runs of one type on consecutive frames: number from 0, first and last frame and time, mean confidence, frames."""
-    w = Window.partitionBy(key).orderBy("frame_index", "pts_ms")
-    goes_on = F.coalesce((F.lag(kind).over(w) == F.col(kind)) & (F.col("frame_index") <= F.lag("frame_index").over(w) + 1), F.lit(False))
-    rows = frames.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("segment", F.sum("_new").over(w) - 1)
-    return rows.groupBy(key, "segment").agg(
+    order = ("frame_index", "pts_ms")
+    rows = carry.previous(carry.stretched(frames, order, width), key, order, F.struct(F.col(kind).alias("kind"), "frame_index"))
+    goes_on = F.coalesce((F.col("_was.v.kind") == F.col(kind)) & (F.col("frame_index") <= F.col("_was.v.frame_index") + 1), F.lit(False))
+    rows = carry.running(rows.withColumn("_new", F.when(goes_on, 0).otherwise(1)), key, order, {"segment": F.col("_new")})
+    return rows.withColumn("segment", F.col("segment") - 1).groupBy(key, "segment").agg(
         F.first(kind).alias(kind), F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.min("pts_ms").alias("start_ms"), F.max("pts_ms").alias("end_ms"),
         F.avg(F.col("confidence").cast("double")).alias("confidence"), F.count("*").alias("frames"),
     )
@@ -126,9 +131,11 @@ def lifecycle(segs: DataFrame, key: str = "stream_id", sure: float = 0.7, correc
     return both.select(key, "event_type", "start_frame", "start_ms", "m.*")
 
 
-def chunks(frames: DataFrame, size: int) -> DataFrame:
+def chunks(frames: DataFrame, size: int, width: int = INDEX_WIDTH) -> DataFrame:
     """Frames with the number of their chunk of ``size``."""
-    return frames.withColumn("chunk", F.floor((F.row_number().over(ordered("stream_id")) - 1) / size))
+    order = ("frame_index", "frame_id")
+    rows = carry.running(carry.stretched(frames, order, width), "stream_id", order, {"_n": F.lit(1)})
+    return rows.withColumn("chunk", F.floor((F.col("_n") - 1) / size)).drop("_n", carry.STRETCH)
 
 
 def tumbling(pts: Column, ms: int = 250) -> Column:
@@ -137,10 +144,11 @@ def tumbling(pts: Column, ms: int = 250) -> Column:
     return F.floor(pts / ms) * ms
 
 
-def fps(frames: DataFrame) -> DataFrame:
+def fps(frames: DataFrame, width: int = INDEX_WIDTH) -> DataFrame:
     """Frames per second of each stream from the mean positive step of time, within [0.2, 120]; 1 if there is none."""
-    step = F.col("pts_ms") - F.lag("pts_ms").over(ordered("stream_id"))
-    rows = frames.withColumn("_s", step)
+    order = ("frame_index", "frame_id")
+    rows = carry.previous(carry.stretched(frames, order, width), "stream_id", order, F.col("pts_ms"))
+    rows = rows.withColumn("_s", F.col("pts_ms") - F.col("_was.v"))
     mean = F.avg(F.when(F.col("_s") > 0, F.col("_s")))
     return rows.groupBy("stream_id").agg(F.coalesce(F.greatest(F.lit(0.2), F.least(F.lit(120.0), 1000 / mean)), F.lit(1.0)).alias("fps"))
 
@@ -154,17 +162,22 @@ def spaced(n: int, length: Column) -> Column:
     return F.when(length < 1, F.array().cast("array<int>")).when(length <= n, whole).otherwise(some)
 
 
-def index_runs(rows: DataFrame, key: str, index: str) -> DataFrame:
+def index_runs(rows: DataFrame, key: str, index: str, width: int = INDEX_WIDTH) -> DataFrame:
     """Runs of consecutive numbers: first, last, how many."""
-    w = Window.partitionBy(key).orderBy(index)
-    marked = rows.select(key, index).distinct().withColumn("_k", F.col(index) - F.row_number().over(w))
+    each = carry.stretched(rows.select(key, index).distinct(), (index,), width)
+    marked = carry.running(each, key, (index,), {"_n": F.lit(1)}).withColumn("_k", F.col(index) - F.col("_n"))
     return marked.groupBy(key, "_k").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("_k")
 
 
-def collapsed(rows: DataFrame, key: str, text: str, order: tuple[str, ...]) -> DataFrame:
+def run_expression(runs: list[tuple[int, int]], name: str = "n") -> str:
+    """A condition on a frame's number that holds for the given runs (first, last)."""
+    return "+".join(f"eq({name},{a})" if a == b else f"between({name},{a},{b})" for a, b in runs) or "0"
+
+
+def collapsed(rows: DataFrame, key: str, text: str, order: tuple[str, ...], width: int = carry.WIDTH) -> DataFrame:
     """Runs of equal texts; a blank one ends a run and is in none."""
-    w = Window.partitionBy(key).orderBy(*order)
     blank = F.coalesce(F.trim(text) == "", F.lit(True))
-    marked = rows.withColumn("_b", blank).withColumn("_new", F.when(F.col(text).eqNullSafe(F.lag(text).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    marked = marked.withColumn("_g", F.sum("_new").over(w)).where("not _b")
-    return marked.groupBy(key, "_g").agg(F.first(text).alias(text), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n")).drop("_g")
+    marked = carry.previous(carry.stretched(rows, order, width), key, order, F.col(text))
+    marked = marked.withColumns({"_b": blank, "_new": F.when(F.col("_was").isNotNull() & F.col(text).eqNullSafe(F.col("_was.v")), 0).otherwise(1)}).drop("_was")
+    marked = carry.running(marked, key, order, {"_g": F.col("_new")}).where("not _b")
+    return marked.groupBy(key, "_g").agg(F.first(text).alias(text), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n")).drop("_g")
\ No newline at end of file

@@ -112,7 +112,7 @@ def novelty(s: SparkSession, d: str) -> DataFrame:
 
 
 def triggers(s: SparkSession, d: str) -> DataFrame:
-    rows = w.motion(frames(s, d)).select(
+    rows = spread(s, d, w.motion).select(
         "stream_id", "frame_index", "pts_ms", F.col("motion").cast("float").alias("motion_score"), F.lit(None).cast("float").alias("novelty_score"), F.col("luma_mean").alias("confidence"),
         F.lit(None).cast("float").alias("model_uncertainty"), F.lit(None).cast("float").alias("teacher_disagreement"), F.lit(None).cast("array<struct<signal:string,value:float>>").alias("observations"),
     )
@@ -162,7 +162,7 @@ QUERIES = {
     "fr_index_runs": lambda s, d: w.index_runs(frames(s, d), "stream_id", "frame_index"),
     "fr_collapsed": lambda s, d: w.collapsed(agents(s, d), "session_id", "description", ("pts_ms", "id")),
     "fold_gate": lambda s, d: rounded(gate(s, d).select("stream_id", "frame_index", "event_type", "reason", "confidence"), "confidence"),
-    "fold_zone": lambda s, d: rounded(_fold(w.motion(frames(s, d)), "stream_id", ["frame_index"], ["pts_ms", "motion"], partial(m.Zone, m.ZoneConfig(0.1, 0.03)), m.ZONE_SCHEMA), "motion_score"),
+    "fold_zone": lambda s, d: rounded(_fold(spread(s, d, w.motion), "stream_id", ["frame_index"], ["pts_ms", "motion"], partial(m.Zone, m.ZoneConfig(0.1, 0.03)), m.ZONE_SCHEMA), "motion_score"),
     "fold_rate": lambda s, d: sg.rate_limited(frames(s, d), 2, "stream_id", "pts_ms", "frame_id"),
     "fold_time_chunks": lambda s, d: sg.time_chunks(frames(s, d), 5000, "stream_id", "pts_ms", "frame_id"),
     "fold_clips": lambda s, d: _fold(frames(s, d), "stream_id", ["frame_index"], ["pts_ms", "frame_index"], m.Clips, m.CLIP_SCHEMA),
