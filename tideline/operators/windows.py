@@ -58,10 +58,10 @@ def deltas(frames: DataFrame, live: bool = True, keys: tuple[str, ...] = ("strea
 def normal_time(frames: DataFrame, num: int, den: int, width: int = INDEX_WIDTH) -> DataFrame:
     """Media time in ms from ticks of ``num / den`` seconds: from the first frame, never going back."""
     order = ("frame_index", "frame_id")
-    first = frames.groupBy("stream_id").agg(F.min_by("pts", F.struct(*order)).alias("_t0"))
+    first = frames.groupBy(F.col("stream_id").alias("_s")).agg(F.min_by("pts", F.struct(*order)).alias("_t0"))
     since = F.greatest((F.col("pts") - F.col("_t0")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     ms = F.floor(since * F.lit(num * 1000).cast("decimal(20,0)") / F.lit(den)).cast("long")
-    rows = frames.join(first, "stream_id").withColumn("_ms", ms).drop("_t0")
+    rows = frames.join(first, F.col("stream_id").eqNullSafe(F.col("_s"))).withColumn("_ms", ms).drop("_t0", "_s")
     return carry.running(carry.stretched(rows, order, width), "stream_id", order, most={"normal_ms": F.col("_ms")}).drop("_ms", carry.STRETCH)
 
 
